@@ -4,6 +4,11 @@ Both public tokenizers cut a text into pieces before they merge pairs, and no pi
 character that isn't white space into one that is. So a text cut before a single space or line feed
 gives the same ids in chunks as at once, and chunks repeat often enough to be worth remembering.
 Texts with runs of white space are encoded as they are.
+
+A new chunk that is letters before a few ASCII marks is the ids of the letters, then those of the marks,
+as pieces end where letters do; and for a tokenizer that lowers its input, letters that have a plain lower
+form share its ids. Letters alone are one piece, so they go to a copy of the tokenizer that doesn't look
+for pieces.
 """
 
 from __future__ import annotations
@@ -13,40 +18,106 @@ import os
 import numpy as np
 
 
+MARKS = ".,;:!?"
+#: Chunks in one call for ids; more calls cost more than they bring.
+GROUP = 64
+
+
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for; new: those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
     """ids(texts) with a memory of chunks. end: an id that each text gets at its end, or None."""
 
-    MOST = 300_000
+    MOST = 800_000
 
     def __init__(self, path: str, spaces_dropped: bool, end: int | None = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.spaces_dropped, self.end = Tokenizer.from_file(path), spaces_dropped, end
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[object, int] = {}
+        self.number = Numbers()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.used = 0
-        if self.end is not None:
-            self.learn([None], [[self.end]])
 
-    def learn(self, keys: list, ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, first = int(lengths.sum()), len(self.known)
+    def keep(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Keeps ids that stand one after another, for a number each."""
+        n = len(ids)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(keys) > len(self.at):
-            self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
-        self.flat[self.used : self.used + n] = np.fromiter((x for y in ids for x in y), np.uint32, n)
-        self.length[first : first + len(keys)] = lengths
-        self.at[first : first + len(keys)] = self.used + np.cumsum(lengths) - lengths
-        self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.flat[self.used : self.used + n] = ids
+        self.length[numbers] = lengths
+        self.at[numbers] = self.used + np.cumsum(lengths) - lengths
         self.used += n
 
+    def encode(self, tokenizer, keys: list[str]) -> None:
+        """Gets the ids of keys from the library, each on its own."""
+        for i in range(0, len(keys), 64 * GROUP):
+            some = keys[i : i + 64 * GROUP]
+            groups = [some[j : j + GROUP] for j in range(0, len(some), GROUP)]
+            made = tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, np.uint32) for x in made])
+            lengths = np.concatenate([np.bincount(np.array(x.word_ids, np.int64), minlength=len(g)) for x, g in zip(made, groups, strict=True)])
+            self.keep(np.array([self.number[k] for k in some]), ids, lengths)
+
+    def resolve(self) -> None:
+        """Finds the ids of all new keys."""
+        number, lower = self.number, self.spaces_dropped
+        plain, rest, same, joint = [], [], [], []
+        for c in number.new:  # stems and marks that are new join the list meanwhile
+            if c is None:
+                continue
+            stem = c.rstrip(MARKS)
+            word = stem[1:] if stem[:1] == " " else stem
+            if not word.isalpha() or lower and not word.isascii() and (max(word) >= "\u0180" or "\u0130" in word):
+                rest.append(c)
+                continue
+            low = stem.lower() if lower else stem
+            if len(stem) < len(c):
+                joint.append((number[c], number[low], number[c[len(stem) :]]))
+            elif low != stem:
+                same.append((number[c], number[low]))
+            else:
+                plain.append(c)
+        while len(number) > len(self.at):
+            self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
+        if None in number.new:
+            self.keep(np.array([number[None]]), np.array([self.end], np.uint32), np.array([1]))
+        self.encode(self.letters, plain)
+        self.encode(self.tokenizer, rest)
+        if same:
+            to, of = np.array(same).T
+            self.at[to], self.length[to] = self.at[of], self.length[of]
+        if joint:
+            to, *of = np.array(joint).T
+            of = np.stack(of, axis=1)
+            self.keep(to, self.spread(of.ravel()), self.length[of].sum(axis=1))
+        number.new = []
+
+    def spread(self, which: np.ndarray) -> np.ndarray:
+        """The ids of numbers, one after another."""
+        length = self.length[which]
+        ends = np.cumsum(length)
+        return self.flat[np.repeat(self.at[which] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
     def chunks(self, text: str) -> list[str]:
         if self.spaces_dropped:
             return [x for x in text.replace("\n", " ").split(" ") if x]
@@ -56,7 +127,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and where each text starts (with the end of the last)."""
-        if len(self.known) > self.MOST:
+        if len(self.number) > self.MOST:
             self.forget()
         chunks: list[str | None] = []
         counts = []
@@ -66,15 +137,12 @@ class Encoder:
             if self.end is not None:
                 chunks.append(None)
             counts.append(len(own) + (self.end is not None))
-        new = list(set(chunks) - self.known.keys())
-        if new:
-            self.learn(new, [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
-        which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        length = self.length[which]
-        ends = np.cumsum(length)
-        out = self.flat[np.repeat(self.at[which] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        which = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        if self.number.new:
+            self.resolve()
+        ends = np.cumsum(self.length[which])
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-        return out, bounds
+        return self.spread(which), bounds
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -1,6 +1,7 @@
 """Token file and packing against the library and brute force."""
 
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
@@ -16,11 +17,16 @@ TEXTS = [None, "", " ", "a", "Hello  world\n\n x", "tab\tand nbsp \n", "été n
 TEXT = st.text(alphabet=st.sampled_from("ab \n\t.,'sé́ 0!\x1c Z"), max_size=40)
 
 
+@cache
+def loaded(name, dropped):
+    return Encoder(P.path(name), dropped, 0), Tokenizer.from_file(P.path(name))
+
+
 @pytest.mark.parametrize("name, dropped", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 @settings(max_examples=300, deadline=None)
 @given(texts=st.lists(TEXT, max_size=4))
 def test_chunks_give_the_whole_texts_ids(name, dropped, texts):
-    enc, whole = Encoder(P.path(name), dropped, 0), Tokenizer.from_file(P.path(name))
+    enc, whole = loaded(name, dropped)
     ids, bounds = enc.ids(texts)
     for k, t in enumerate(texts):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 0]
