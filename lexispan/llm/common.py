@@ -114,3 +114,25 @@ def ranges(docs: DataFrame, by: str, rows: int = 8000, least: int = 24, most: in
     cut = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_by", outputCol="_cut")
     out = cut.transform(docs.withColumn("_by", F.coalesce(F.col(by).cast("double"), F.lit(-1e300))))
     return out.withColumn("_shard", F.col("_cut").cast("int")).drop("_by", "_cut"), cuts
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """_n and row, a struct of docs' columns. _n is a long that orders rows as doc_id does, and is theirs alone.
+
+    It is doc_id itself, unless ids repeat or are null: then rows are numbered by id (null first) and text,
+    shard by shard.
+    """
+    from pyspark.sql import Window
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k")).first()
+    if ids["n"] == ids["k"] and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return rows.select(F.col("row.doc_id").alias("_n"), "row")
+    cut, _ = ranges(rows.withColumn("_id", F.col("row.doc_id")), "_id")
+    before, total = [], 0
+    for r in cut.groupBy("_shard").count().orderBy("_shard").collect():  # a number a shard
+        before.append((r["_shard"], total))
+        total += r["count"]
+    within = Window.partitionBy("_shard").orderBy(F.col("_id").asc_nulls_first(), F.col("row.text").asc_nulls_first())
+    places = docs.sparkSession.createDataFrame(before, "_shard int, _before long")
+    return cut.withColumn("_k", F.row_number().over(within)).join(F.broadcast(places), "_shard").select((F.col("_before") + F.col("_k")).alias("_n"), "row")

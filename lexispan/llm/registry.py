@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, decontam, langid, packing, quality, simhash, substring, tokenfile, urlfilter
+from . import cws, decontam, langid, linededup, packing, quality, simhash, substring, tokenfile, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), num=4, den=5)
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_repeated_passages": op2_repeated_passages,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_fingerprints": op9_fingerprints,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL_OP4 = r"""
@@ -118,4 +124,18 @@ sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(
 FROM d LEFT JOIN lists USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_repeated_passages": SQL_OP2, "op4_decontamination": SQL_OP4, "op5_url_filter": SQL_OP5}
+SQL_OP10 = r"""
+WITH l AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS id, doc_id, i, line, list_distinct(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w
+FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)),
+t AS (SELECT id, len(w) AS n, unnest(w) AS x FROM l),
+f AS (SELECT x, count(*) AS c FROM t GROUP BY x),
+p AS (SELECT id, n, x FROM (SELECT id, n, t.x, row_number() OVER (PARTITION BY id ORDER BY c, t.x) AS k FROM t JOIN f USING (x)) WHERE k <= n - (n * 4 + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND b.id < a.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+g AS (SELECT DISTINCT c.a AS id FROM c JOIN l x ON c.a = x.id JOIN l y ON c.b = y.id WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (len(x.w) + len(y.w))),
+k AS (SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY i) AS kept FROM l WHERE id NOT IN (SELECT id FROM g) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op10_line_dedup": SQL_OP10, "op2_repeated_passages": SQL_OP2, "op4_decontamination": SQL_OP4, "op5_url_filter": SQL_OP5}

@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from .common import parts, ranges, strings, written
+from .common import numbered, parts, strings, written
 from .cws import mix
 from .fmindex import Index
 
@@ -94,23 +93,6 @@ def stretches(words: np.ndarray, of: np.ndarray, window: int, run: int) -> tuple
     return anchor[place[new]], Rolling(words, CONTENT).of(start, start + number + window - 1), of[start], start - begin, number
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """_n, doc_id, text. _n orders rows as doc_id does; where ids repeat or are null, it numbers rows by id (null first) and text, shard by shard."""
-    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k")).first()
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    rows = docs.select("doc_id", "text")
-    if ids["n"] == ids["k"] and not repeats:
-        return rows.select(F.col("doc_id").alias("_n"), "doc_id", "text")
-    cut, _ = ranges(rows, "doc_id")
-    before, total = [], 0
-    for r in cut.groupBy("_shard").count().orderBy("_shard").collect():  # a number a shard
-        before.append((r["_shard"], total))
-        total += r["count"]
-    within = W.Window.partitionBy("_shard").orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    placed = cut.withColumn("_k", F.row_number().over(within)).join(F.broadcast(docs.sparkSession.createDataFrame(before, "_shard int, _before long")), "_shard")
-    return placed.select((F.col("_before") + F.col("_k")).alias("_n"), "doc_id", "text")
-
-
 def look(window: int):
     """The shard's function: of rows _n, start, n, words its runs of windows that also start earlier."""
 
@@ -201,7 +183,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, run: int = 6, shard_words:
     follow each other in the order of their texts, so a repeated row loses what its twin keeps; null ids
     come first. An empty table gives no rows.
     """
-    rows = numbered(docs)
+    rows = numbered(docs.select("doc_id", "text")).select("_n", "row.doc_id", "row.text")
     spark = docs.sparkSession
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(n, "_n")  # the texts move once: both joins read this exchange
