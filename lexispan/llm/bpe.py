@@ -7,20 +7,34 @@ Texts with runs of white space are encoded as they are.
 
 A new chunk that is letters before a few ASCII marks is the ids of the letters, then those of the marks,
 as pieces end where letters do; and for a tokenizer that lowers its input, letters that have a plain lower
-form share its ids. Letters alone are one piece, so they go to a copy of the tokenizer that doesn't look
-for pieces.
+form share its ids. Letters alone are one piece, so they go straight to the tokenizer's model.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
 
 MARKS = ".,;:!?"
 #: Chunks in one call for ids; more calls cost more than they bring.
-GROUP = 64
+GROUP = 16
+
+
+def visible_bytes() -> dict[int, int]:
+    """How byte-level models spell bytes: visible characters of Latin-1 as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_HIDDEN = visible_bytes()
+
+
+def spelt(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_HIDDEN)
 
 
 class Numbers(dict):
@@ -39,16 +53,14 @@ class Numbers(dict):
 class Encoder:
     """ids(texts) with a memory of chunks. end: an id that each text gets at its end, or None."""
 
-    MOST = 800_000
+    MOST = 1_200_000
 
     def __init__(self, path: str, spaces_dropped: bool, end: int | None = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer, self.spaces_dropped, self.end = Tokenizer.from_file(path), spaces_dropped, end
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = None
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.tokenizer.model
         self.forget()
 
     def forget(self) -> None:
@@ -68,41 +80,54 @@ class Encoder:
         self.at[numbers] = self.used + np.cumsum(lengths) - lengths
         self.used += n
 
-    def encode(self, tokenizer, keys: list[str]) -> None:
+    def merge(self, numbers: list[int], keys: list[str]) -> None:
+        """Gets the ids of keys, each of which is one piece, from the library's model."""
+        if keys:
+            tokenize = self.model.tokenize
+            ids = [[x.id for x in tokenize(k if k.isascii() and k[0] != " " else spelt(k))] for k in keys]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.keep(np.array(numbers), np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+
+    def encode(self, numbers: list[int], keys: list[str]) -> None:
         """Gets the ids of keys from the library, each on its own."""
         for i in range(0, len(keys), 64 * GROUP):
             some = keys[i : i + 64 * GROUP]
             groups = [some[j : j + GROUP] for j in range(0, len(some), GROUP)]
-            made = tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
+            made = self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
             ids = np.concatenate([np.array(x.ids, np.uint32) for x in made])
             lengths = np.concatenate([np.bincount(np.array(x.word_ids, np.int64), minlength=len(g)) for x, g in zip(made, groups, strict=True)])
-            self.keep(np.array([self.number[k] for k in some]), ids, lengths)
+            self.keep(np.array(numbers[i : i + 64 * GROUP]), ids, lengths)
 
     def resolve(self) -> None:
         """Finds the ids of all new keys."""
         number, lower = self.number, self.spaces_dropped
-        plain, rest, same, joint = [], [], [], []
-        for c in number.new:  # stems and marks that are new join the list meanwhile
+        plain, plain_at, rest, rest_at, same, joint = [], [], [], [], [], []
+        at = len(number) - len(number.new)
+        ended = None
+        for n, c in enumerate(number.new, at):  # stems and marks that are new join the list meanwhile
             if c is None:
+                ended = n
                 continue
             stem = c.rstrip(MARKS)
             word = stem[1:] if stem[:1] == " " else stem
             if not word.isalpha() or lower and not word.isascii() and (max(word) >= "\u0180" or "\u0130" in word):
                 rest.append(c)
+                rest_at.append(n)
                 continue
             low = stem.lower() if lower else stem
             if len(stem) < len(c):
-                joint.append((number[c], number[low], number[c[len(stem) :]]))
+                joint.append((n, number[low], number[c[len(stem) :]]))
             elif low != stem:
-                same.append((number[c], number[low]))
+                same.append((n, number[low]))
             else:
                 plain.append(c)
+                plain_at.append(n)
         while len(number) > len(self.at):
             self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
-        if None in number.new:
-            self.keep(np.array([number[None]]), np.array([self.end], np.uint32), np.array([1]))
-        self.encode(self.letters, plain)
-        self.encode(self.tokenizer, rest)
+        if ended is not None:
+            self.keep(np.array([ended]), np.array([self.end], np.uint32), np.array([1]))
+        self.merge(plain_at, plain)
+        self.encode(rest_at, rest)
         if same:
             to, of = np.array(same).T
             self.at[to], self.length[to] = self.at[of], self.length[of]

@@ -116,7 +116,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Only one row a shard is copied; a shard's first id is all that the driver learns of it.
     """
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    cut, cuts = ranges(docs.select("doc_id", "text", key.alias("_key")), "_key")
+    cut, cuts = ranges(docs.select("doc_id", "text", key.alias("_key")), "_key", rows=2000)
     firsts = [(r["_shard"], r["k"]) for r in cut.groupBy("_shard").agg(F.min("_key").alias("k")).orderBy("_shard").collect()]
     place = lambda s, own: F.struct(F.lit(s).cast("int").alias("s") if isinstance(s, int) else s.cast("int").alias("s"), F.lit(own).alias("o"))
     alone = F.array(place(F.col("_shard"), True))
@@ -125,7 +125,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         looked = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_key")]
         alone = F.when(F.col("_key").isin(list(before)), F.array(place(F.col("_shard"), True), place(looked, False))).otherwise(alone)
     dealt = cut.select("doc_id", "text", "_key", F.explode(alone).alias("p")).select(F.col("p.s").alias("_shard"), F.col("p.o").alias("_own"), "doc_id", "text", "_key")
-    return dealt.repartition(len(cuts) + 1, "_shard").sortWithinPartitions("_shard", F.desc("_own"), "_key", "text").drop("_key")
+    return dealt.repartition(max(1, (len(cuts) + 1) // 4), "_shard").sortWithinPartitions("_shard", F.desc("_own"), "_key", "text").drop("_key")
 
 
 def document_fingerprints(docs: DataFrame, samples: int = 64) -> DataFrame:

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .bpe import encoder
 from .common import parts, ranges, scratch, strings
@@ -108,27 +107,29 @@ class Segment:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end: int = 0, segment_tokens: int = 1 << 20) -> None:
     """Writes all documents' ids (doc_id, text; null: empty), each with the end id, in ascending doc_id order (nulls first).
 
-    One row a segment: shard and segment (both in the order of documents), n_docs, n_tokens, payload. Rows of
-    equal doc_id stay in the order of their texts. Any store that Spark writes to will do.
+    One row a segment: shard and segment (both in the order of documents), n_docs, before (ids of the shard's
+    earlier segments), n_tokens, payload. Rows of equal doc_id stay in the order of their texts. Any store
+    that Spark writes to will do.
     """
-    cut, cuts = ranges(docs.select("doc_id", "text"), "doc_id")
-    dealt = cut.repartition(max(1, len(cuts) + 1), "_shard").sortWithinPartitions("_shard", "doc_id", "text")
+    cut, cuts = ranges(docs.select("doc_id", "text"), "doc_id", rows=2000)
+    dealt = cut.repartition(max(1, (len(cuts) + 1) // 4), "_shard").sortWithinPartitions("_shard", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaces_dropped=False, end=end)
-        shard, number, held, names, size = None, 0, [], [], 0
+        shard, number, held, names, size, before = None, 0, [], [], 0, 0
 
         def out() -> pa.RecordBatch:
             lengths = [len(x) for x in held]
             data = pack(np.concatenate(held), np.concatenate([[0], np.cumsum(lengths)]), names)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "segment": pa.array([number], pa.int32()), "n_docs": [len(names)], "n_tokens": [size], "payload": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "segment": pa.array([number], pa.int32()), "n_docs": [len(names)], "before": [before], "n_tokens": [size], "payload": pa.array([data], pa.binary())})
 
         for b in parts(batches):
             ids, starts = enc.ids(strings(b.column(1)))
             for k, (doc, s) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 if held and (s != shard or size >= segment_tokens):
                     yield out()
-                    number, held, names, size = number + 1 if s == shard else 0, [], [], 0
+                    number, before = (number + 1, before + size) if s == shard else (0, 0)
+                    held, names, size = [], [], 0
                 shard = s
                 held.append(ids[starts[k] : starts[k + 1]])
                 names.append(doc)
@@ -136,26 +137,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
         if held:
             yield out()
 
-    dealt.mapInArrow(run, "shard int, segment int, n_docs long, n_tokens long, payload binary").write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, "shard int, segment int, n_docs long, before long, n_tokens long, payload binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """From the files at path, one row a document: doc_id, start, n_tokens, ids_crc32."""
     files = spark.read.parquet(path)
     totals = {r["shard"]: r["n"] for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}  # at most one row a shard
-    before, sums = [], 0
+    starts, total = {}, 0
     for s in sorted(totals):
-        before.append((s, sums))
-        sums += totals[s]
-    within = W.Window.partitionBy("shard").orderBy("segment").rowsBetween(W.Window.unboundedPreceding, -1)
-    places = files.select("shard", "segment", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("inner"))
-    places = places.join(F.broadcast(spark.createDataFrame(before, "shard int, outer long")), "shard")
-    # a few numbers for each segment of a million tokens; Spark broadcasts them only while they are small
-    rows = files.join(places.select("shard", "segment", (F.col("inner") + F.col("outer")).alias("base")), ["shard", "segment"])
+        starts[s] = total
+        total += totals[s]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for base, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for shard, before, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                base = starts[shard] + before
                 s = Segment(data.as_buffer().to_pybytes())
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -166,7 +163,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                     }
                 )
 
-    return rows.select("base", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("shard", "before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 0) -> DataFrame:
