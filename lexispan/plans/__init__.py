@@ -1 +1,4 @@
-"""Part of the lexispan engine."""
+"""Queries over the driver's tables, and their SQL."""
+
+from . import corpus_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
