@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Arabic marks and tatweel, and letters that count as one.
 DIACRITICS = r"\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06E4}\x{06E7}-\x{06E8}\x{06EA}-\x{06ED}\x{0640}"
@@ -81,7 +82,7 @@ def simhash_md5(rows: DataFrame, key: str, grams: Column, bits: int = 60) -> Dat
     return votes.select(key, F.when(F.col("n") == 0, F.lit(0).cast("bigint")).otherwise(total).alias("simhash"))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(grams) -> int:
         if grams is None or len(grams) == 0:

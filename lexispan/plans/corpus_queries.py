@@ -158,13 +158,13 @@ def nms_peaks(spark, sf_dir):
     return C.peaks(p).select("item_id.item_id", "item_id.doc_id", F.array_join("peaks", ",").alias("peaks"))
 
 
-CAND = """WITH a AS (SELECT l_orderkey AS item_id, (l_partkey * 37) % 5000 AS ref_start, (l_partkey * 37) % 5000 + l_linenumber * 100 - 100 AS ref_end, l_suppkey * 11 - 500 AS off, CASE WHEN l_linenumber % 2 = 0 THEN 'anchor' ELSE 'simhash' END AS source, round(1 - l_discount * 5, 6) AS quick, l_linenumber AS id FROM lineitem WHERE l_linenumber * 100 - 100 > 0)"""
+CAND = """WITH a AS (SELECT l_orderkey AS item_id, (l_partkey * 37) % 5000 AS ref_start, (l_partkey * 37) % 5000 + l_linenumber * 100 - 100 AS ref_end, l_suppkey * 11 - 500 AS off, CASE WHEN l_linenumber % 2 = 0 THEN 'anchor' ELSE 'simhash' END AS source, round(1 - l_discount * 5, 6) AS quick, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS id FROM lineitem WHERE l_linenumber * 100 - 100 > 0)"""
 
 
 def candidate_rows(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem")
     start = (F.col("l_partkey") * 37) % 5000
-    both = x.select(F.col("l_orderkey").alias("item_id"), start.alias("ref_start"), (start + F.col("l_linenumber") * 100 - 100).alias("ref_end"), (F.col("l_suppkey") * 11 - 500).alias("off"), F.when(F.col("l_linenumber") % 2 == 0, "anchor").otherwise("simhash").alias("source"), F.round(1 - F.col("l_discount") * 5, 6).alias("quick"), F.col("l_linenumber").alias("id"))
+    both = x.select(F.col("l_orderkey").alias("item_id"), start.alias("ref_start"), (start + F.col("l_linenumber") * 100 - 100).alias("ref_end"), (F.col("l_suppkey") * 11 - 500).alias("off"), F.when(F.col("l_linenumber") % 2 == 0, "anchor").otherwise("simhash").alias("source"), F.round(1 - F.col("l_discount") * 5, 6).alias("quick"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("id"))
     return both.where("source = 'anchor'").unionByName(both.where("source = 'simhash'"))
 
 
