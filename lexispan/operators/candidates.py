@@ -54,11 +54,11 @@ def windows(found: DataFrame, m: Column, length: int, margin: int = 450) -> Data
     return found.withColumn("ref_start", start).withColumn("ref_end", end).where("ref_start < ref_end")
 
 
-def dedup_windows(found: DataFrame, *by: str) -> DataFrame:
-    """One window for each coarse place: by ref_start and off in units of 256, cut towards zero; anchors before simhash."""
+def dedup_windows(found: DataFrame, *by: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One window for each coarse place: by ref_start and off in units of 256, cut towards zero; anchors before simhash, then by ref_start, off and ties."""
     priority = F.when(F.col("source") == "anchor", 0).when(F.col("source") == "embed", 1).otherwise(2)
     key = [F.expr("ref_start div 256"), F.expr("off div 256")]
-    order = Window.partitionBy(*by, *key).orderBy(priority, "ref_start", "off")
+    order = Window.partitionBy(*by, *key).orderBy(priority, "ref_start", "off", *ties)
     return found.where("ref_start < ref_end").withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 

@@ -168,12 +168,12 @@ def candidate_rows(spark, sf_dir):
     return both.where("source = 'anchor'").unionByName(both.where("source = 'simhash'"))
 
 
-DEDUP = f"{CAND}, d AS (SELECT *, row_number() OVER (PARTITION BY item_id, ref_start // 256, CAST(trunc(off / 256) AS BIGINT) ORDER BY CASE source WHEN 'anchor' THEN 0 ELSE 2 END, ref_start, off) AS k FROM a QUALIFY k = 1)"
+DEDUP = f"{CAND}, d AS (SELECT *, row_number() OVER (PARTITION BY item_id, ref_start // 256, CAST(trunc(off / 256) AS BIGINT) ORDER BY CASE source WHEN 'anchor' THEN 0 ELSE 2 END, ref_start, off, id, quick) AS k FROM a QUALIFY k = 1)"
 
 
 @query(f"{DEDUP} SELECT item_id, ref_start, ref_end, off, source, quick, id FROM d")
 def candidate_union_dedup(spark, sf_dir):
-    return C.dedup_windows(candidate_rows(spark, sf_dir), "item_id")
+    return C.dedup_windows(candidate_rows(spark, sf_dir), "item_id", ties=("id", "quick"))
 
 
 @query("SELECT DISTINCT l_partkey % 100 AS ref_start, l_partkey % 100 + l_linenumber AS ref_end, l_suppkey AS off FROM lineitem")
