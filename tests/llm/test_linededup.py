@@ -60,7 +60,7 @@ def test_lines_against_brute_force(spark):
         assert got(linededup.dedup_lines(df)) == sorted((d, t or "", a, b) for d, t, a, b in brute(docs))
 
 
-def test_groups_that_need_more_rounds(spark, monkeypatch):
+def test_crowded_words(spark, monkeypatch):
     """Lines that share a rare word but are not alike, before ones that are like a late member of the group."""
     rng = random.Random(5)
     docs = [(i, "rare " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(12))) for i in range(40)]
@@ -69,10 +69,15 @@ def test_groups_that_need_more_rounds(spark, monkeypatch):
     want = sorted((d, t, a, b) for d, t, a, b in brute(docs))
     assert got(linededup.dedup_lines(df)) == want
     original = linededup.like_earlier
-    monkeypatch.setattr(linededup, "like_earlier", lambda r, t: original(r, t, near=1, pairs_at_once=0))
+    monkeypatch.setattr(linededup, "like_earlier", lambda r, t: original(r, t, hot=3))
     assert got(linededup.dedup_lines(df)) == want and sum(x[3] for x in want) == 12
 
 
+def test_ids_that_do_not_fit(spark):
+    df = spark.createDataFrame([(2**60, "a b\nc"), (-5, "a b"), (7, "c")], "doc_id long, text string")
+    assert [x[1] for x in got(linededup.dedup_lines(df))] == ["a b", "c", ""]
+
+
 def test_repeated_null_and_no_rows(spark):
     kind = "doc_id long, text string, t string"
     assert linededup.dedup_lines(spark.createDataFrame([], kind)).count() == 0
