@@ -234,7 +234,7 @@ def test_query(spark, name):
     want = con.execute(ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    shown = lambda df: sorted(tuple("" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
+    shown = lambda df: sorted(tuple("" if pd.isna(v) else f"{v:.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
     assert shown(got) == shown(want)
 
 
