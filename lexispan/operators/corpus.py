@@ -28,15 +28,21 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, stop_ratio: float = 0.35) -> DataFrame:
-    """token, token_id (from 1 by descending document frequency, then token), df, idf, is_stop.
+    """token, token_id (from 1 in the order of tokens), df, idf, is_stop.
 
-    The numbering needs an order over the vocabulary, which is small beside the corpus.
+    Ids come from windows of tokens that start alike plus the offsets of those starts, so no task holds the
+    whole vocabulary.
     """
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    n = docs.count()
     df = docs.select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
-    ids = F.row_number().over(Window.orderBy(F.desc("df"), "token"))
-    return df.join(F.broadcast(n)).select("token", ids.alias("token_id"), "df", idf.alias("idf"), (F.col("df") / F.col("n_docs") > stop_ratio).alias("is_stop"))
+    df = df.withColumn("head", F.substring("token", 1, 3))
+    heads = df.groupBy("head").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = heads.select("head", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("head").orderBy("token"))
+    idf = F.log((n + 1) / (F.col("df") + 1)) + 1
+    placed = df.withColumn("k", within).join(offsets, "head")
+    return placed.select("token", (F.col("before") + F.col("k")).cast("int").alias("token_id"), "df", idf.alias("idf"), (F.col("df") / n > stop_ratio).alias("is_stop"))
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:

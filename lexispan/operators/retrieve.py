@@ -37,12 +37,12 @@ def bm25(docs: DataFrame, queries: DataFrame, most: int = 24) -> DataFrame:
     """item_id, doc_id, score, over the documents with any term. The idf is that of Okapi, at least 1e-6."""
     terms = query_terms(queries, most).select("item_id", "term")
     post = postings(docs)
-    stats = docs.select(F.size(T.tokenize(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
+    n_docs, avg_len = docs.select(F.size(T.tokenize(F.col("text"))).alias("n")).agg(F.count(F.lit(1)), F.avg("n")).first()
     found = post.join(terms.select(F.col("term").alias("token")).distinct(), "token", "left_semi")
     df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = found.join(df, "token").join(F.broadcast(stats)).select("token", "doc_id", weight.alias("w"))
+    idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / (avg_len or 1.0)))
+    scored = found.join(df, "token").select("token", "doc_id", weight.alias("w"))
     return scored.join(terms, scored.token == terms.term).groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
 
 

@@ -40,7 +40,7 @@ def group_doc_view(spark, sf_dir):
     return d.join(g, "source")
 
 
-VOCAB = f"""SELECT token, df, row_number() OVER (ORDER BY df DESC, token) AS token_id, ln((n + 1) / (df + 1)) + 1 AS idf, df / n > 0.35 AS is_stop FROM (SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS token FROM ({DT})) GROUP BY token), (SELECT count(*) AS n FROM documents)"""
+VOCAB = f"""SELECT token, df, row_number() OVER (ORDER BY token) AS token_id, ln((n + 1) / (df + 1)) + 1 AS idf, df / n > 0.35 AS is_stop FROM (SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS token FROM ({DT})) GROUP BY token), (SELECT count(*) AS n FROM documents)"""
 
 
 @query(f"SELECT token, CAST(token_id AS INTEGER) AS token_id, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf, is_stop FROM ({VOCAB})")
