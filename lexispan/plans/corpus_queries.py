@@ -4,9 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexispan.functions import text as T
-from lexispan.operators import align as A
 from lexispan.operators import candidates as C
 from lexispan.operators import corpus as K
+from lexispan.operators import locate as P
 from lexispan.operators import retrieve as R
 
 from .registry import query, table
@@ -137,12 +137,7 @@ votes AS (SELECT item_id, doc_id, pos - q_pos AS off, round(sum(idf), 6) AS vote
 
 
 def votes(spark, sf_dir):
-    """item_id, off, votes with off of doc_id and place: documents lie apart, so an offset is doc_id, then place."""
-    q = query_tokens(spark, sf_dir).where(~F.col("is_stop") & F.col("idf").isNotNull()).select("item_id", "q_pos", F.col("token").alias("token_id"), "idf")
-    c = corpus_tokens(spark, sf_dir).select(F.col("token").alias("token_id"), (F.col("doc_id") * F.lit(1 << 22) + F.col("pos")).alias("pos"))
-    v = C.offset_votes(q, c)
-    doc = F.floor((F.col("off") + (1 << 21)) / (1 << 22))
-    return v.select("item_id", doc.alias("doc_id"), (F.col("off") - doc * (1 << 22)).alias("off"), "votes")
+    return P.votes(docs(spark, sf_dir), items(spark, sf_dir))
 
 
 @query(f"{VOTES} SELECT item_id, doc_id, off, votes FROM votes WHERE votes >= 10")
@@ -224,11 +219,36 @@ def exists_semi(spark, sf_dir):
 
 @query()
 def align_benchmark(spark, sf_dir):
-    """Each benchmark item aligned with the document where its rare tokens vote most: the whole of it, offset as voted."""
-    v = votes(spark, sf_dir)
-    best = v.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("votes"), "doc_id", "off"))).where("k = 1")
-    ids = lambda c: F.transform(T.tokenize(c), lambda t: F.xxhash64(t))
-    q = items(spark, sf_dir).select("item_id", ids(F.col("text")).alias("observed"))
-    d = docs(spark, sf_dir).select("doc_id", ids(F.col("text")).alias("reference"))
-    pairs = q.join(best.select("item_id", "doc_id", "off"), "item_id").join(d, "doc_id").withColumn("base", F.lit(0).cast("long"))
-    return A.align_pairs(pairs.select("item_id", "doc_id", "off", "base", "observed", "reference"), "item_id long, doc_id long")
+    """Each benchmark item located in the corpus: candidates by votes, alignment, confidence."""
+    return P.locate(docs(spark, sf_dir), items(spark, sf_dir))
+
+
+@query(r"""WITH x AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS w FROM conversations)
+SELECT conv_id, turn AS seg, CAST(k AS INTEGER) AS word_pos, w[k + 1] AS raw, round(CASE WHEN length(text) % 4 > 0 THEN turn * 10.0 + (length(text) % 4) * k / len(w) ELSE turn * 10.0 END, 6) AS start_s FROM (SELECT *, unnest(range(len(w))) AS k FROM x)
+WHERE regexp_matches(w[k + 1], '[\p{L}\p{M}\p{Nd}]')""")
+def timed_tokens(spark, sf_dir):
+    """Turns as segments with one word of their own each, which is too few: the text's words share the time."""
+    c = table(spark, sf_dir, "conversations").where("text <> ''")
+    word = F.struct(F.lit("x").alias("word"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s"))
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    s = c.select("conv_id", F.col("turn").alias("seg"), (F.col("turn") * 10.0).alias("start_s"), (F.col("turn") * 10.0 + F.length("text") % 4).alias("end_s"), "text", F.when(n >= 3, F.array(word)).alias("words"))
+    return P.timed_tokens(s, "conv_id").select("conv_id", "seg", "word_pos", "raw", F.round("start_s", 6).alias("start_s"))
+
+
+@query("""WITH o AS (SELECT user_id % 20 AS grp, event_id AS num, value * 1000 AS ms FROM events), n AS (SELECT user_id % 20 AS grp, event_id AS num, value * 1000 + event_id % 4000 AS ms FROM events WHERE user_id % 20 <> 4 OR event_id % 2 = 0), c AS (SELECT user_id % 20 AS grp, max(value) / 1000 AS conf FROM events GROUP BY ALL),
+g AS (SELECT o.grp, count(*) AS n, count(n.ms) AS matched, avg(abs(n.ms - o.ms)) AS mae, max(abs(n.ms - o.ms)) AS most, median(abs(n.ms - o.ms)) AS middle, list(abs(n.ms - o.ms) ORDER BY abs(n.ms - o.ms)) FILTER (n.ms IS NOT NULL) AS a FROM o LEFT JOIN n USING (grp, num) GROUP BY o.grp)
+SELECT grp, CAST(n AS BIGINT) AS n, CAST(matched AS BIGINT) AS matched, round(mae, 6) AS mae, round(most, 6) AS most, round(middle, 6) AS middle, round(a[CAST(floor((len(a) - 1) * 0.9 + 0.5) AS BIGINT) + 1], 6) AS p90, n = matched AND grp NOT IN (1, 33) AND conf >= 0.6 AND most >= 1500 AS update FROM g LEFT JOIN c USING (grp)""")
+def timing_refresh(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("grp", F.col("user_id") % 20)
+    old = e.select("grp", F.col("event_id").alias("num"), (F.col("value") * 1000).alias("ms"))
+    new = e.where((F.col("grp") != 4) | (F.col("event_id") % 2 == 0)).select("grp", F.col("event_id").alias("num"), (F.col("value") * 1000 + F.col("event_id") % 4000).alias("ms"))
+    return P.timing_refresh(new, old, e.groupBy("grp").agg((F.max("value") / 1000).alias("conf")))
+
+
+@query("SELECT event_id, k AS chunk FROM (SELECT event_id, unnest([event_id % 7, event_id % 7 + 1]) AS k, value AS s FROM events) WHERE s >= k * 20 - 1e-6 AND s < k * 20 + 20 + 1e-6")
+def chunk_ownership(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    words = e.select("event_id", F.lit(0).alias("file"), F.col("value").alias("w_start"), F.explode(F.array(F.col("event_id") % 7, F.col("event_id") % 7 + 1)).alias("chunk"))
+    k = F.col("id").alias("chunk")
+    chunks = spark.range(9).select(F.lit(0).alias("file"), k, (F.col("id") * 20.0).alias("start_s"), (F.col("id") * 20.0 + 20).alias("end_s"), (F.col("id") * 20.0).alias("keep_from_s"), (F.col("id") * 20.0 + 20).alias("keep_to_s"))
+    return P.owned_words(words, chunks, "file").select("event_id", "chunk")

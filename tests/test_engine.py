@@ -15,10 +15,11 @@ from lexispan.functions import numeric as N
 from lexispan.functions import text as T
 from lexispan.operators import align as A
 from lexispan.operators import candidates as C
+from lexispan.operators import locate
 from lexispan.operators import spans as S
 from lexispan.operators import timeline as L
 from lexispan.plans import ORACLES, QUERIES
-from lexispan.sources import npy, readers
+from lexispan.sources import audio, bundle, npy, readers
 from lexispan.streaming import machine as M
 from lexispan.streaming import sessions as X
 
@@ -220,6 +221,44 @@ def test_readers(spark, tmp_path):
     assert len(readers.wav(b"\0\0" * 16000)) == 44 + 32000
 
 
+def test_locate_and_refine(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    docs = [(i, " ".join(word() for _ in range(80))) for i in range(12)]
+    cut = lambda i, a, b: " ".join(docs[i][1].split()[a:b])
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(1, cut(3, 10, 30)), (2, cut(7, 0, 5) + " noise " + cut(7, 5, 25)), (3, "nothing of it")], "item_id long, text string")
+    got = {r["item_id"]: r for r in locate.locate(corpus, q).collect()}
+    assert got.keys() == {1, 2}
+    assert (got[1]["doc_id"], got[1]["ref_start"], got[1]["ref_end"], got[1]["matches"]) == (3, 10, 30, 20) and got[1]["confidence"] > 0.9
+    assert (got[2]["doc_id"], got[2]["ref_start"], got[2]["ref_end"], got[2]["matches"]) == (7, 0, 25, 25)
+    segments = spark.createDataFrame([(5, 0, cut(2, 0, 10)), (5, 1, cut(2, 10, 22)), (5, 2, cut(9, 40, 60))], "t long, seg int, text string")
+    spans = spark.createDataFrame([(5, 0, 0, 1), (5, 1, 2, 2)], "t long, span int, first_segment int, last_segment int")
+    refined = {r["span_key"]: (r["doc_id"], r["ref_start"], r["ref_end"]) for r in locate.refine(segments, spans, corpus, "t").collect()}
+    assert refined == {"5:0": (2, 0, 22), "5:1": (9, 40, 60)}
+
+
+def test_audio_bundle_and_settings(spark, tmp_path):
+    x = np.array([0.0, 1.0, 0.0, -1.0])
+    assert audio.resampled(x, 8000).tolist() == [0, 0.5, 1, 0.5, 0, -0.5, -1, -1]
+    assert np.frombuffer(audio.quantised(np.array([2, 0.5, -1, -0.5])), "<i2").tolist() == [32767, 16383, -32768, -16384]
+    df = spark.createDataFrame([([0.5] * 8, 16000)], "s array<double>, r int")
+    assert df.select(audio.level(audio.pcm16(F.col("s"), F.col("r")))).first()[0] == pytest.approx(-6.02, abs=0.01)
+    v = tmp_path / "2024"
+    v.mkdir()
+    (v / "meta.json").write_text('{"n": 2}')
+    with pytest.raises(FileNotFoundError):
+        bundle.load_bundle(spark, str(tmp_path))
+    (v / "vocab.json").write_text('{"id_to_token": ["", "a", "b"]}')
+    np.save(v / "starts.npy", np.array([0, 0, 5], "<u4"))
+    np.save(v / "ends.npy", np.array([0, 5, 9], "<u4"))
+    b = bundle.load_bundle(spark, str(tmp_path))
+    assert b.meta == {"n": 2} and sorted(map(tuple, b.vocabulary.collect())) == [("a", 1), ("b", 2)]
+    assert sorted(map(tuple, bundle.ranges_of(b.arrays["starts"], b.arrays["ends"]).collect())) == [(1, 0, 5), (2, 5, 9)]
+    s = {"A": "yes", "B": "7", "C": "x", "D": "a, b,", "E": " "}
+    assert [bundle.setting(s, *p) for p in (("A", False), ("B", 1), ("C", 3), ("D", []), ("E", 2.5), ("F", None))] == [True, 7, 3, ["a", "b"], 2.5, None]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     """Against DuckDB where there is SQL, else that it runs."""
