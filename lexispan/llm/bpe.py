@@ -53,7 +53,9 @@ class Numbers(dict):
 class Encoder:
     """ids(texts) with a memory of chunks. end: an id that each text gets at its end, or None."""
 
+    #: Chunks remembered; letters of either case are one where the tokenizer lowers them, so fewer do.
     MOST = 1_200_000
+    MOST_LOWERED = 500_000
 
     def __init__(self, path: str, spaces_dropped: bool, end: int | None = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -152,7 +154,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and where each text starts (with the end of the last)."""
-        if len(self.number) > self.MOST:
+        if len(self.number) > (self.MOST_LOWERED if self.spaces_dropped else self.MOST):
             self.forget()
         chunks: list[str | None] = []
         counts = []

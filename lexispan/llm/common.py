@@ -36,11 +36,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/lexispan-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df, written to the shared folder and read from there: the lineage ends and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark drops a query's shuffle files at its end if this is on; a stage that is retried within the query makes them anew.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd", clean: bool = False) -> DataFrame:
+    """df, written to the shared folder and read from there: the lineage ends and a lost executor loses nothing.
+
+    clean: the shuffle files that the writing needed go as soon as the table is there.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    was = spark.conf.get(CLEANUP, "false")
+    if clean:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -58,6 +71,13 @@ def id_remainder(doc_id: int | None, m: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python a thousand at a time and in about 8 MB, unless the session says otherwise: texts can be long, and both sides hold whole batches outside the heap."""
+    for name, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, ours)
+
+
 def strings(column: pa.Array) -> list[str]:
     """The texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]
@@ -83,6 +103,7 @@ def by_rows(docs: DataFrame, fn: Callable[[list[str]], dict[str, list]], added:
 
     The struct keeps extra columns apart from added ones, whatever their names.
     """
+    small_batches(docs.sparkSession)
     schema = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).schema.simpleString()[len("struct<row:") : -1]
     kinds = to_arrow_schema(StructType.fromDDL(added))  # Spark takes no other types than the declared
 
@@ -105,6 +126,7 @@ def ranges(docs: DataFrame, by: str, rows: int = 8000, least: int = 24, most: in
     """
     from pyspark.ml.feature import Bucketizer
 
+    small_batches(docs.sparkSession)
     n = docs.select(by).count()
     k = max(1, min(most, max(least, -(-n // rows)), n // 200))
     cuts = docs.select(F.percentile_approx(F.col(by).cast("double"), [i / k for i in range(1, k)] or [0.5], 4 * k).alias("c")).first()["c"] if k > 1 else []
@@ -116,17 +138,18 @@ def ranges(docs: DataFrame, by: str, rows: int = 8000, least: int = 24, most: in
     return out.withColumn("_shard", F.col("_cut").cast("int")).drop("_by", "_cut"), cuts
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, below: int | None = None) -> DataFrame:
     """_n and row, a struct of docs' columns. _n is a long that orders rows as doc_id does, and is theirs alone.
 
-    It is doc_id itself, unless ids repeat or are null: then rows are numbered by id (null first) and text,
-    shard by shard.
+    It is doc_id itself, unless ids repeat, are null or don't lie in 0 to below: then rows are numbered by id
+    (null first) and text, shard by shard.
     """
     from pyspark.sql import Window
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k")).first()
-    if ids["n"] == ids["k"] and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    inside = below is None or ids["k"] == 0 or 0 <= ids["a"] and ids["b"] < below
+    if inside and ids["n"] == ids["k"] and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return rows.select(F.col("row.doc_id").alias("_n"), "row")
     cut, _ = ranges(rows.withColumn("_id", F.col("row.doc_id")), "_id")
     before, total = [], 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import parts, strings, written
+from .common import parts, small_batches, strings, written
 
 
 def best_fit(lengths: np.ndarray, tokens: int = 2048, documents: int = 2048, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.1), choose: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +62,8 @@ def best_fit(lengths: np.ndarray, tokens: int = 2048, documents: int = 2048, att
 def pieces(docs: DataFrame, tokenizer: str, end: int, tokens: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids with the end id, cut only where they exceed tokens."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaces_dropped=True, end=end)
         for b in parts(batches):

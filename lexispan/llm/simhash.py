@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, strings, written
+from .common import parts, small_batches, strings, written
 from .graph import stars
 
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -40,6 +40,8 @@ def fingerprint(text: str, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp (the bits as a long) of every row of docs."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             fp = np.array([fingerprint(t, words) for t in strings(b.column(1))], np.uint64).view(np.int64)
