@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, parts, strings, written
+from .common import numbered, parts, small_batches, strings, written
 from .cws import mix
 from .fmindex import Index
 
@@ -69,7 +69,7 @@ def least(v: np.ndarray, width: int) -> np.ndarray:
 def stretches(words: np.ndarray, of: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
     """anchor, content, text, start, number of windows of each stretch. Blocks keep places within PLACE_BITS; windows at a block's edge belong to one block."""
     block = (1 << PLACE_BITS) - window
-    if len(words) > block:
+    if len(words) > 1 << PLACE_BITS:
         some = [stretches(words[i : i + block + window - 1], of[i : i + block + window - 1], window, run) for i in range(0, len(words), block)]
         first = [i - int(np.searchsorted(of, of[i])) for i in range(0, len(words), block)]
         for k, (s, f) in enumerate(zip(some, first, strict=True)):
@@ -136,11 +136,13 @@ def repeats(rows: DataFrame, window: int, run: int, shard_words: int, hot: int,
             yield pa.RecordBatch.from_pydict({"h": anchor.view(np.int64), "c": content.view(np.int64), "_n": b.column(0).take(pa.array(of)), "start": start.astype(np.int32), "n": n.astype(np.int32), "first": first})
 
     made = rows.select("_n", "text").mapInArrow(cut, "h long, c long, _n long, start int, n int, first boolean")
-    often = made.groupBy("h").count().where("count > 1").select("h")
+    # written first, so that Spark can split a hot anchor in the joins: their sides are plain exchanges
+    often = written(made.groupBy("h").count().where("count > 1").select("h"), "often")
     some = written(made.join(often, "h"), "stretches")
     firsts = some.groupBy("h", "c").agg(F.min("_n").alias("earliest"))
     different = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    known = written(some.join(firsts.join(different, "h"), ["h", "c"]).select("h", "c", "_n", "start", "n", (F.col("first") & (F.col("_n") == F.col("earliest"))).alias("is_first"), "k"), "compared")
+    firsts = written(firsts.join(different, "h"), "firsts")
+    known = written(some.join(firsts, ["h", "c"]).select("h", "c", "_n", "start", "n", (F.col("first") & (F.col("_n") == F.col("earliest"))).alias("is_first"), "k"), "compared")
     again = known.where("not is_first").select("_n", "start", "n")
     asked = known.where("is_first and k > 1")
     shards = max(1, -(-(asked.agg(F.sum(F.col("n") + window)).first()[0] or 0) // shard_words))
@@ -190,6 +192,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, run: int = 6, shard_words:
     found = repeats(rows, window, run, shard_words, hot, dealt)
     lists = found.groupBy("_n").agg(F.collect_list(F.struct("start", "n")).alias("found"))
 
+    small_batches(docs.sparkSession)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
         for b in parts(batches, rows=256):
