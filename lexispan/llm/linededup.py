@@ -1,25 +1,30 @@
 """Removal of lines that are like an earlier line: an exact set-similarity join in DataFrame operations.
 
-A line is the set of its words. Each word becomes a number that sorts by rarity, so a sorted array is the
-line in the order of rarity. Two lines as like as the threshold share a word among the rarest few of each
-(prefix filter), are of like size (length filter), and have enough words left after the shared one
-(positional filter). Equal lines are one line from the start. Within the lines that share a rare word, each
-is first compared with the earliest and with those just before it; only lines that this doesn't remove are
-compared with more, a growing part of the earlier ones, until none is left. So a group of near copies
-makes a few pairs a line, not all pairs, and no earlier line is missed.
+A line is the set of its words. Equal lines are one line from the start. Words sort by rarity, and two lines
+as like as the threshold share a word among the rarest few of each (prefix filter), are of like size (length
+filter), have enough words left from the shared one on (positional filter), and differ in few bits of their
+words' parities (bitmap filter; a word that only one of them has changes one bit). What passes is verified.
+Lines that share a word with very many others first meet the earliest of those alone, which removes most
+members of a large group of near copies; the others then meet all earlier lines, so none is missed.
+
+Words are told apart by 32 bits of hash within a pair of lines, equal lines by 128 bits.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, written
 
 SPACES, SPLIT = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
-BUCKETS = 4096
+BUCKETS = 1 << 16
 #: Bits of the fixed-size filter of lines that are to be compared.
 FILTER_BITS = 24
+#: A line's id is its row's number and, in the low bits, its place in the row.
+PLACE_BITS = 25
 
 
 def has_words(line: Column) -> Column:
@@ -32,28 +37,43 @@ def words(line: Column) -> Column:
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    return rows.select("_n", F.posexplode(F.split("row.text", "\n")).alias("i", "line"))
+    """id, line."""
+    split = rows.select("_n", F.posexplode(F.split("row.text", "\n")).alias("i", "line"))
+    return split.select((F.shiftleft("_n", PLACE_BITS) + F.col("i")).alias("id"), "line")
+
+
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """id (the first of equal lines) and t: its words' hashes, each once."""
+    own = lines(rows).where(has_words(F.col("line")))
+    t = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.hash(w)))
+    own = own.select("id", F.xxhash64("line").alias("d1"), F.xxhash64(F.lit("line"), "line").alias("d2"), t.alias("t"))
+    return own.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("t").alias("t")).select("id", "t")
 
 
-def rarity(rows: DataFrame) -> Column:
-    """Of each bucket of words its rank, rarest first, as a constant array; counted over all rows."""
-    word = rows.where(has_words(F.col("row.text"))).select(F.explode(words(F.col("row.text"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
-    counts = {r["b"]: r["count"] for r in word.groupBy("b").count().collect()}  # at most BUCKETS numbers
-    order = sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(order):
-        ranks[b] = rank
+def rarity(once: DataFrame) -> Column:
+    """Of each bucket of words how often they occur, on a logarithmic scale, as a constant array; counted over all lines."""
+    found = once.select(F.explode("t").alias("t")).select(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).groupBy("b").count().collect()
+    counts = {r["b"]: r["count"] for r in found}  # at most BUCKETS numbers
+    ranks = [int(math.log2(counts.get(b, 1)) * 8) for b in range(BUCKETS)]
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def tokens(line: Column, ranks: Column) -> Column:
-    """A line's different words, rarest first: the bucket's rank (which tells the bucket, 12 bits of the hash) and 50 more bits of the hash."""
+def rarest(t: Column, n: Column, ranks: Column) -> Column:
+    """The n rarest of t, in the order of rarity, ties by hash."""
+    low = 1 << 31  # makes a hash of either sign the low half of a number
+    key = F.transform(t, lambda x: F.shiftleft(F.get(ranks, x.bitwiseAND(BUCKETS - 1)), 32).bitwiseOR(x.cast("bigint") + low))
+    return F.transform(F.slice(F.sort_array(key), F.lit(1), n), lambda k: (k.bitwiseAND((1 << 32) - 1) - low).cast("int"))
+
+
+def parities(t: Column, shift: int) -> Column:
+    """64 bits, each the parity of the number of words that fall on it, by six bits of their hashes."""
+    return F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, shift).bitwiseAND(63))))
 
-    def one(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), 50).bitwiseOR(F.shiftrightunsigned(h, 14))
 
-    return F.sort_array(F.array_distinct(F.transform(words(line), one)))
+def signature(t: Column) -> list[Column]:
+    """Parities on 128 bits: a seventh bit of the hash tells which half a word falls on."""
+    half = lambda bit: F.filter(t, lambda x: F.shiftrightunsigned(x, 25).bitwiseAND(1) == bit)
+    return [parities(half(0), 26).alias("sig"), parities(half(1), 26).alias("sig2")]
 
 
 def up(a: Column, num: int, den: int) -> Column:
@@ -70,65 +90,61 @@ class Threshold:
     def prefix(self, n: Column) -> Column:
         return n - up(n, self.num, self.den) + 1
 
-    def possible(self, a: Column, b: Column) -> Column:
-        """Length and positional filter for lines that share their words number pos (from 0), if that is the first they share."""
-        small, large = F.least(a["len"], b["len"]), F.greatest(a["len"], b["len"])
+    def possible(self, a: dict[str, Column], b: dict[str, Column]) -> Column:
+        """Length, positional and bitmap filter for lines that share a word, number pos (from 0) in their orders, if it is the first they share."""
+        small, large, both = F.least(a["len"], b["len"]), F.greatest(a["len"], b["len"]), a["len"] + b["len"]
         rest = F.least(a["len"] - a["pos"], b["len"] - b["pos"])
-        return (small * self.den >= large * self.num) & (rest * (self.num + self.den) >= (a["len"] + b["len"]) * self.num)
+        apart = (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) + F.bit_count(a["sig2"].bitwiseXOR(b["sig2"]))).cast("int")
+        # at least both * num / (num + den) words are common, so at most both * (den - num) / (num + den) are not
+        return (small * self.den >= large * self.num) & (rest * (self.num + self.den) >= both * self.num) & (apart * (self.num + self.den) <= both * (self.den - self.num))
 
     def met(self, common: Column, a: Column, b: Column) -> Column:
         return common * (self.num + self.den) >= (a + b) * self.num
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Lines (_n, i, line) of rows that may be in ids (_n, i): all that are, and few others while ids fill less than the filter's fixed bits."""
-    bit = F.pmod(F.xxhash64("_n", "i"), F.lit(1 << FILTER_BITS))
+def among(once: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of once that may be in ids (id): all that are, and few others while ids fill less than the filter's fixed bits."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     parts = lambda c: (F.shiftright(c, 12).alias("_bucket"), F.shiftright(c, 6).bitwiseAND(63).cast("int").alias("_word"), c.bitwiseAND(63).cast("int").alias("_bit"))
-    words_ = ids.select(*parts(bit)).groupBy("_bucket", "_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
-    filter_ = words_.groupBy("_bucket").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))
-    found = lines(rows).select("*", *parts(bit)).join(F.broadcast(filter_), "_bucket")
-    return found.where("coalesce(getbit(_map[_word], _bit), 0) = 1").select("_n", "i", "line")
-
-
-def verified(rows: DataFrame, pairs: DataFrame, ranks: Column, like: Threshold) -> DataFrame:
-    """_n, i of the lines x of pairs (x, y: structs with _n and i) that are like their y."""
-    ids = written(pairs.select(F.explode(F.array(F.struct("x._n", "x.i"), F.struct("y._n", "y.i"))).alias("e")).select("e.*").distinct(), "asked")
-    spelt = written(among(rows, ids).join(ids, ["_n", "i"], "left_semi").select("_n", "i", tokens(F.col("line"), ranks).alias("t")), "spelt")
-    side = lambda name: spelt.select(F.col("_n").alias(f"{name}_n"), F.col("i").alias(f"{name}_i"), F.col("t").alias(f"{name}_t"))
-    flat = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}{'' if c == '_n' else '_'}{c}") for s in "xy" for c in ("_n", "i")])
-    both = flat.join(side("x"), ["x_n", "x_i"]).join(side("y"), ["y_n", "y_i"])
-    common = F.size(F.array_intersect("x_t", "y_t"))
-    return both.where(like.met(common, F.size("x_t"), F.size("y_t"))).select(F.col("x_n").alias("_n"), F.col("x_i").alias("i")).distinct()
-
-
-def like_earlier(rows: DataFrame, like: Threshold, near: int = 3, pairs_at_once: int = 4) -> DataFrame:
-    """_n, i of the first of equal lines where an earlier, different line is like it. rows: _n, row.text."""
-    ranks = rarity(rows)
-    own = lines(rows).where(has_words(F.col("line"))).select("_n", "i", F.xxhash64("line").alias("d1"), F.xxhash64(F.lit("line"), "line").alias("d2"), tokens(F.col("line"), ranks).alias("t"))
-    own = own.select("_n", "i", "d1", "d2", F.size("t").alias("len"), F.slice("t", F.lit(1), like.prefix(F.size("t"))).alias("t"))
-    once = own.groupBy("d1", "d2").agg(F.min(F.struct("_n", "i")).alias("at"), F.first("len").alias("len"), F.first("t").alias("t"))
-    filed = once.select("at._n", "at.i", "len", F.posexplode("t").alias("pos", "t"))
-    order = Window.partitionBy("t").orderBy("_n", "i")
-    me = F.struct("_n", "i", "len", "pos")
-    seen = filed.select("t", me.alias("x"), (F.row_number().over(order) - 1).alias("rank"), F.lead("len").over(order).alias("after"), F.first(me).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), *[F.lag(me, k).over(order).alias(f"lag{k}") for k in range(1, near + 1)])
-    before = F.filter(F.array_distinct(F.array("head", *[f"lag{k}" for k in range(1, near + 1)])), lambda y: y.isNotNull() & ((y["_n"] != F.col("x._n")) | (y["i"] != F.col("x.i"))) & like.possible(F.col("x"), y))
-    filed = written(seen.where("rank > 0 or after is not null").select("t", "x", "rank", before.alias("before")), "filed")
-    pairs = filed.select("x", F.explode("before").alias("y")).select("x", "y").select(F.struct("x._n", "x.i").alias("x"), F.struct("y._n", "y.i").alias("y")).distinct()
-    removed = written(verified(rows, pairs, ranks, like), "removed")
-    done = near + 1  # lines of this rank and lower have met all before them
-    total = filed.count()
-    while True:
-        left = filed.where(F.col("rank") > done).select("t", "x", "rank").join(removed.select(F.col("_n").alias("rn"), F.col("i").alias("ri")), (F.col("x._n") == F.col("rn")) & (F.col("x.i") == F.col("ri")), "left_anti")
-        left = written(left, "left")
-        size = left.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rank") - done).alias("pairs"), F.max("rank").alias("most")).first()
-        if not size["n"]:
-            return removed
-        until = size["most"] if size["pairs"] <= pairs_at_once * max(total, 1_000_000) else done * 8
-        some = filed.where((F.col("rank") >= 1) & (F.col("rank") < until)).select("t", F.col("x").alias("y"), F.col("rank").alias("yrank"))
-        met = left.join(some, "t").where((F.col("yrank") < F.col("rank")) & (F.col("yrank") >= done - near) & like.possible(F.col("x"), F.col("y")))
-        pairs = met.select(F.struct("x._n", "x.i").alias("x"), F.struct("y._n", "y.i").alias("y")).distinct()
-        removed = written(removed.union(verified(rows, pairs, ranks, like)).distinct(), "removed")
-        done = until
+    filter_ = ids.select(*parts(bit)).groupBy("_bucket", "_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    filter_ = filter_.groupBy("_bucket").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))
+    found = once.select("*", *parts(bit)).join(F.broadcast(filter_), "_bucket")
+    return found.where("coalesce(getbit(_map[_word], _bit), 0) = 1").select("id", "t")
+
+
+def verified(once: DataFrame, pairs: DataFrame, like: Threshold) -> DataFrame:
+    """id of the lines x of pairs (x, y: ids) that are like their y."""
+    ids = written(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "asked", clean=True)
+    spelt = among(once, ids)
+    both = pairs.join(spelt.toDF("x", "xt"), "x").join(spelt.toDF("y", "yt"), "y")
+    return both.where(like.met(F.size(F.array_intersect("xt", "yt")), F.size("xt"), F.size("yt"))).select(F.col("x").alias("id")).distinct()
+
+
+def like_earlier(rows: DataFrame, like: Threshold, hot: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(id of the first of equal lines, id of those of them where an earlier, different line is like it). rows: _n, row.text."""
+    once = written(distinct_lines(rows), "lines", clean=True)
+    ranks = rarity(once)
+    n = F.size("t")
+    ordered = written(once.select("id", n.alias("len"), *signature(F.col("t")), rarest(F.col("t"), like.prefix(n), ranks).alias("t")), "ordered")
+    filed = ordered.select("id", "len", "sig", "sig2", F.posexplode("t").alias("pos", "t"))
+    side = lambda df, s: df.select(*[F.col(c).alias(c if c == "t" else f"{s}{c}") for c in df.columns])
+    of = lambda s: {c: F.col(f"{s}{c}") for c in ("len", "pos", "sig", "sig2")}
+
+    crowded = written(filed.groupBy("t").count().where(F.col("count") > hot).select("t"), "crowded", clean=True)
+    heads = filed.join(crowded, "t", "left_semi").withColumn("y", F.min(F.struct("id", "len", "sig", "sig2", "pos")).over(Window.partitionBy("t")))
+    first = heads.where(F.col("id") > F.col("y.id")).where(like.possible({c: F.col(c) for c in ("len", "pos", "sig", "sig2")}, {c: F.col(f"y.{c}") for c in ("len", "pos", "sig", "sig2")}))
+    pairs = written(first.select(F.col("id").alias("x"), F.col("y.id").alias("y")).distinct(), "pairs", clean=True)
+    removed = written(verified(once, pairs, like), "removed", clean=True)
+
+    # written, so that both sides of the join are one exchange, read twice; a removed line is marked by a high bit of
+    # pos, which both sides carry, and the mark is compared with the other side, as a filter of one side would tell them apart
+    gone = 1 << 24
+    marked = written(ordered.join(removed.withColumn("mark", F.lit(gone)), "id", "left").select("id", "len", "sig", "sig2", F.coalesce("mark", F.lit(0)).alias("mark"), "t"), "marked", clean=True)
+    marked = marked.select("id", "len", "sig", "sig2", "mark", F.posexplode("t").alias("pos", "t")).select("id", "len", "sig", "sig2", (F.col("pos") + F.col("mark")).alias("pos"), "t")
+    pos = lambda s: of(s) | {"pos": F.col(f"{s}pos").bitwiseAND(gone - 1)}
+    met = side(marked, "x").join(side(marked, "y"), "t").where((F.when(F.col("xpos") < gone, F.col("xid")).otherwise(-1) > F.col("yid")) & (F.col("xid") > F.col("yid")) & like.possible(pos("x"), pos("y")))
+    pairs = written(met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct(), "pairs", clean=True)
+    return once.select("id"), written(removed.union(verified(once, pairs, like)).distinct(), "removed", clean=True)
 
 
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -141,12 +157,12 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     Rows of one doc_id follow each other in the order of their texts, null ids come first. An empty table
     gives no rows.
     """
-    rows = numbered(docs)
-    gone = like_earlier(rows, Threshold(num, den))
-    all_ = lines(rows)
-    first = all_.where(has_words(F.col("line"))).groupBy(F.xxhash64("line").alias("d1"), F.xxhash64(F.lit("line"), "line").alias("d2")).agg(F.min(F.struct("_n", "i")).alias("at"))
-    kept = first.select("at._n", "at.i").join(gone, ["_n", "i"], "left_anti").union(all_.where(~has_words(F.col("line"))).select("_n", "i"))
-    kept = kept.groupBy("_n").agg(F.sort_array(F.collect_list("i")).alias("kept"))
+    rows = numbered(docs, below=1 << (62 - PLACE_BITS))
+    first, gone = like_earlier(rows, Threshold(num, den))
+    blank = lines(rows).where(~has_words(F.col("line"))).select("id")
+    kept = first.join(gone, "id", "left_anti").union(blank)
+    place = F.col("id").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+    kept = kept.groupBy(F.shiftright("id", PLACE_BITS).alias("_n")).agg(F.sort_array(F.collect_list(place)).alias("kept"))
     split = F.split("row.text", "\n")
     text = F.when(F.col("row.text").isNotNull(), F.coalesce(F.array_join(F.transform("kept", lambda i: F.get(split, i)), "\n"), F.lit("")))
     n = F.coalesce(F.size(split), F.lit(0))
