@@ -10,33 +10,30 @@ fingerprints, not pairs; stars of different shards meet as connected components.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, strings, written
+from .common import numbered, parts, small_batches, strings, written
 from .graph import stars
+from .shinglejoin import common, filed, like, shingles
 
-LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
-
-def fingerprint(text: str, words: int = 3) -> int:
-    """64 bits: those set in over half of the hashes of the text's word shingles. No words: 0."""
-    w = text.encode().translate(LOWER).split()  # bytes split at \x20 and \x09 to \x0D alone
-    if not w:
-        return 0
-    grams = [b" ".join(x) for x in zip(*(w[i:] for i in range(words)))] if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), "<u8", len(grams))
+def majority(h: np.ndarray) -> int:
+    """64 bits: those set in over half of the hashes; of no hashes 0."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(h), 255):
         total += np.unpackbits(h[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = 3) -> int:
+    """64 bits: those set in over half of the hashes of the text's word shingles. No words: 0."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp (the bits as a long) of every row of docs."""
 
@@ -212,15 +209,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, shard_size:
     return rows.join(labelled.join(firsts, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 3, num: int = 4, den: int = 5, shard_size: int = 16384, most_shards: int = 4096) -> DataFrame:
     """docs without the rows that have a near duplicate of smaller doc_id in their component; all columns stay.
 
-    A row of null doc_id stays. Of rows that repeat a doc_id one stays (that of the least text).
+    Rows link whose sets of word shingles have a Jaccard similarity of num / den or more, and those whose
+    fingerprints differ in at most so many bits. A row of null doc_id stays. Of rows that repeat a doc_id
+    one stays (that of the least text).
     """
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, words, bits)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    all_ = numbered(docs)
+    rows = all_.select(F.col("_n").alias("id"), F.col("row.text").alias("text"))
+    own = written(filed(rows, words, common(rows, words), num, den), "filed")
+    classes = written(own.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    tops = link(classes, bits, shard_size, most_shards)
+    same = own.join(classes, "fp").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    firsts = classes.select("fp", "first")
+    near = tops.join(firsts.toDF("node", "u"), "node").join(firsts.toDF("root", "v"), "root").select("u", "v")
+    found = like(rows, own, same.union(near), words, num, den)
+    found = written(all_.select("_n", "row.doc_id").join(found, F.col("_n") == F.col("node"), "left").select("_n", "doc_id", F.coalesce("root", "_n").alias("root")), "components")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = written(found.join(least, "root").where("doc_id <> least").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         key = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
