@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zlib
@@ -12,17 +13,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: ASCII upper case, lowered byte by byte: other letters keep their case.
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         have = spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
+        if have is None and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = have or tempfile.mkdtemp(prefix="lexispan-checkpoint-")
         if not have:
             spark.sparkContext.setCheckpointDir(root)
@@ -31,9 +35,30 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: The folders of this process's intermediate tables, by the session's application.
+_folders: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/lexispan-{name}-{uuid.uuid4().hex}"
+    """A new path for a table in the shared folder; release() removes all of them."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_root(spark).rstrip('/')}/lexispan-{uuid.uuid4().hex}"
+        atexit.register(_release_at_exit, spark)
+    return f"{_folders[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the intermediate tables that this session's queries wrote. Results that are still lazy can't be read after it."""
+    folder = _folders.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session can't reach the store any more
+        release(spark)
 
 
 #: Spark drops a query's shuffle files at its end if this is on; a stage that is retried within the query makes them anew.
@@ -98,13 +123,21 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512, of: str = "text",
             yield b.slice(start)
 
 
-def by_rows(docs: DataFrame, fn: Callable[[list[str]], dict[str, list]], added: str, text: str = "text") -> DataFrame:
-    """All of docs' rows and columns, in a struct named row, with the columns named in added, which fn makes from the texts (null: empty).
+def column(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    The struct keeps extra columns apart from added ones, whatever their names.
-    """
+
+def whole(df: DataFrame) -> Column:
+    """All of df's columns in a struct named row, which keeps them apart from added ones, whatever their names."""
+    return F.struct(*map(column, df.columns)).alias("row")
+
+
+def by_rows(docs: DataFrame, fn: Callable[[list[str]], dict[str, list]], added: str, text: str = "text") -> DataFrame:
+    """All of docs' rows and columns, in a struct named row, with the columns named in added, which fn makes from the texts (null: empty)."""
     small_batches(docs.sparkSession)
-    schema = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).schema.simpleString()[len("struct<row:") : -1]
+    rows = docs.select(whole(docs))
+    schema = StructType([StructField("row", rows.schema["row"].dataType), *StructType.fromDDL(added)])
     kinds = to_arrow_schema(StructType.fromDDL(added))  # Spark takes no other types than the declared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,17 +145,19 @@ def by_rows(docs: DataFrame, fn: Callable[[list[str]], dict[str, list]], added:
             rows = b.column(0)
             for start in range(0, max(len(rows), 1), 512):
                 some = rows.slice(start, 512)
-                made = fn(strings(pc.struct_field(some, text)))
+                made = fn(strings(pc.struct_field(some, [text])))
                 yield pa.RecordBatch.from_arrays([some, *(pa.array(made[f.name], f.type) for f in kinds)], ["row", *kinds.names])
 
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(run, f"row {schema}, {added}")
+    return rows.mapInArrow(run, schema)
 
 
-def ranges(docs: DataFrame, by: str, rows: int = 8000, least: int = 24, most: int = 65536) -> tuple[DataFrame, list[int]]:
+def ranges(docs: DataFrame, by: str, rows: int = 8000, least: int = 24, most: int = 1 << 18) -> tuple[DataFrame, list[int]]:
     """docs with a column _shard, 0 to n - 1, ascending with the column by, and the cuts between shards.
 
     n follows the number of rows. The cuts are approximate quantiles over all rows (the scan reads that
-    column alone) and no more than `most` numbers on the driver. A null goes to shard 0.
+    column alone); the driver holds `most` of them, and beyond most * rows rows shards are as many and grow,
+    which callers bear as they stream a shard. by should tell rows apart, as numbered() does, or equal ones and
+    nulls (shard 0) share a shard.
     """
     from pyspark.ml.feature import Bucketizer
 
@@ -141,21 +176,22 @@ def ranges(docs: DataFrame, by: str, rows: int = 8000, least: int = 24, most: in
 def numbered(docs: DataFrame, below: int | None = None) -> DataFrame:
     """_n and row, a struct of docs' columns. _n is a long that orders rows as doc_id does, and is theirs alone.
 
-    It is doc_id itself, unless ids repeat, are null or don't lie in 0 to below: then rows are numbered by id
-    (null first) and text, shard by shard.
+    It is doc_id itself, unless ids repeat, are null or don't lie in 0 to below: then rows are numbered from 0 by id
+    (null first) and, within one id, by a hash of the text and their place in the input. These rows are dealt by
+    ranges of all three, so neither rows without an id nor repeated ones meet in one task.
     """
-    from pyspark.sql import Window
-
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(whole(docs))
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("k"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     inside = below is None or ids["k"] == 0 or 0 <= ids["a"] and ids["b"] < below
     if inside and ids["n"] == ids["k"] and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return rows.select(F.col("row.doc_id").alias("_n"), "row")
-    cut, _ = ranges(rows.withColumn("_id", F.col("row.doc_id")), "_id")
+    order = [F.col("_id").asc_nulls_first(), F.col("_hash").asc(), F.col("_in").asc()]
+    keyed = rows.select("row", F.col("row.doc_id").alias("_id"), F.xxhash64("row.text").alias("_hash"), F.monotonically_increasing_id().alias("_in"))
+    kept = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("_m"), "row"), "numbered", clean=True)
     before, total = [], 0
-    for r in cut.groupBy("_shard").count().orderBy("_shard").collect():  # a number a shard
-        before.append((r["_shard"], total))
+    for r in kept.groupBy(F.shiftright("_m", 33).alias("p")).count().orderBy("p").collect():  # a number a partition
+        before.append((r["p"], total))
         total += r["count"]
-    within = Window.partitionBy("_shard").orderBy(F.col("_id").asc_nulls_first(), F.col("row.text").asc_nulls_first())
-    places = docs.sparkSession.createDataFrame(before, "_shard int, _before long")
-    return cut.withColumn("_k", F.row_number().over(within)).join(F.broadcast(places), "_shard").select((F.col("_before") + F.col("_k")).alias("_n"), "row")
+    places = docs.sparkSession.createDataFrame(before, "_p long, _before long")
+    within = F.col("_m").bitwiseAND((1 << 33) - 1)
+    return kept.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(places), "_p").select((F.col("_before") + within).alias("_n"), "row")

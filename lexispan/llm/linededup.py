@@ -3,82 +3,84 @@
 A line is the set of its words. Equal lines are one line from the start. Words sort by rarity, and two lines
 as like as the threshold share a word among the rarest few of each (prefix filter), are of like size (length
 filter), have enough words left from the shared one on (positional filter), and differ in few bits of their
-words' parities (bitmap filter; a word that only one of them has changes one bit). What passes is verified.
-Lines that share a word with very many others first meet the earliest of those alone, which removes most
-members of a large group of near copies; the others then meet all earlier lines, so none is missed.
-
-Words are told apart by 32 bits of hash within a pair of lines, equal lines by 128 bits.
+words' parities (bitmap filter; a word that only one of them has changes one bit). What passes is verified
+on the words themselves. A word that very many lines have among their rarest is crowded: its lines first
+meet the earliest of them alone, which removes most members of a large group of near copies; the others then
+meet all earlier lines, so none is missed.
+
+Rarity is counted over all words of all texts, in BUCKETS buckets of words, and kept in levels of powers of
+two below the most frequent; any order of words gives the same result. Words are joined by 59 bits of hash
+beside their level; a chance of 2**-59 that two words of a line count as one is all that is not exact.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, written
 
-SPACES, SPLIT = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
+SPACES = " \n\t\x0b\x0c\r"
+#: Buckets of words that share a level of rarity, a quarter of a power of two each.
 BUCKETS = 1 << 16
-#: Bits of the fixed-size filter of lines that are to be compared.
-FILTER_BITS = 24
-#: A line's id is its row's number and, in the low bits, its place in the row.
-PLACE_BITS = 25
+#: Lines of more words have a second signature.
+LONG = 64
+#: What a number has of a word's hash, below its level.
+HASH_BITS = 55
 
 
 def has_words(line: Column) -> Column:
-    return F.length(F.btrim(line, F.lit(SPACES))) > 0
+    return F.ltrim(line, F.lit(SPACES)) != ""
 
 
-def words(line: Column) -> Column:
-    """A line's words; meant for lines that have some."""
-    return F.split(F.btrim(line, F.lit(SPACES)), SPLIT)
+def words(text: Column) -> Column:
+    """What white space separates; empty strings too, where white space follows white space. Single spaces are found faster than a pattern."""
+    rare = SPACES[2:]
+    plain = text
+    for c in rare:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    odd = F.contains(text, F.lit(rare[0]))
+    for c in rare[1:]:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.split(F.when(odd, plain).otherwise(text), " ")
 
 
-def lines(rows: DataFrame) -> DataFrame:
-    """id, line."""
+def lines(rows: DataFrame, stride: int) -> DataFrame:
+    """id, line: the lines with words. A line's id is its row's number times stride and its place in the row."""
     split = rows.select("_n", F.posexplode(F.split("row.text", "\n")).alias("i", "line"))
-    return split.select((F.shiftleft("_n", PLACE_BITS) + F.col("i")).alias("id"), "line")
-
-
-def distinct_lines(rows: DataFrame) -> DataFrame:
-    """id (the first of equal lines) and t: its words' hashes, each once."""
-    own = lines(rows).where(has_words(F.col("line")))
-    t = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.hash(w)))
-    own = own.select("id", F.xxhash64("line").alias("d1"), F.xxhash64(F.lit("line"), "line").alias("d2"), t.alias("t"))
-    return own.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("t").alias("t")).select("id", "t")
+    return split.where(has_words(F.col("line"))).select((F.col("_n") * stride + F.col("i")).alias("id"), "line")
 
 
-def rarity(once: DataFrame) -> Column:
-    """Of each bucket of words how often they occur, on a logarithmic scale, as a constant array; counted over all lines."""
-    found = once.select(F.explode("t").alias("t")).select(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).groupBy("b").count().collect()
-    counts = {r["b"]: r["count"] for r in found}  # at most BUCKETS numbers
-    ranks = [int(math.log2(counts.get(b, 1)) * 8) for b in range(BUCKETS)]
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+def shifted(name: str, c: Column, by: Column) -> Column:
+    return F.call_function(name, c, by.cast("int"))
 
 
-def rarest(t: Column, n: Column, ranks: Column) -> Column:
-    """The n rarest of t, in the order of rarity, ties by hash."""
-    low = 1 << 31  # makes a hash of either sign the low half of a number
-    key = F.transform(t, lambda x: F.shiftleft(F.get(ranks, x.bitwiseAND(BUCKETS - 1)), 32).bitwiseOR(x.cast("bigint") + low))
-    return F.transform(F.slice(F.sort_array(key), F.lit(1), n), lambda k: (k.bitwiseAND((1 << 32) - 1) - low).cast("int"))
+def levels(rows: DataFrame) -> Column:
+    """The buckets' levels of rarity, a constant array; counted over all words of rows."""
+    found = rows.select(F.explode(words(F.replace("row.text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
+    counts = found.select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).groupBy("b").count()
+    spelt = ["0"] * BUCKETS
+    for r in counts.select("b", F.floor(F.log2("count") * 4).alias("level")).collect():  # at most BUCKETS rows
+        spelt[r["b"]] = str(r["level"])
+    return F.split(F.lit(",".join(spelt)), ",").cast("array<bigint>")
 
 
-def parities(t: Column, shift: int) -> Column:
-    """64 bits, each the parity of the number of words that fall on it, by six bits of their hashes."""
-    return F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(x, shift).bitwiseAND(63))))
+def keys(hashes: Column, ranks: Column) -> Column:
+    """For each hash the number that words are ordered and joined by: its level, then its low bits."""
+    level = lambda h: F.get(ranks, h.bitwiseAND(BUCKETS - 1))
+    return F.transform(hashes, lambda h: F.shiftleft(level(h), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1)))
 
 
-def signature(t: Column) -> list[Column]:
-    """Parities on 128 bits: a seventh bit of the hash tells which half a word falls on."""
-    half = lambda bit: F.filter(t, lambda x: F.shiftrightunsigned(x, 25).bitwiseAND(1) == bit)
-    return [parities(half(0), 26).alias("sig"), parities(half(1), 26).alias("sig2")]
+def signature(k: Column, n: Column) -> list[Column]:
+    """sig: 64 bits, each the parity of the number of words that fall on it; sig2: the same of one half of the words, for long lines."""
+    bit = lambda x: F.shiftright(x, 20).bitwiseAND(63).cast("int")
+    of = lambda one: F.aggregate(k, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x), bit(x))))
+    return [of(lambda x: F.lit(1).cast("bigint")).alias("sig"), F.when(n > LONG, of(lambda x: F.shiftright(x, 40).bitwiseAND(1))).alias("sig2")]
 
 
 def up(a: Column, num: int, den: int) -> Column:
     """a * num / den, rounded up, in whole numbers."""
-    return F.floor((a * num + (den - 1)) / den).cast("int")
+    return F.floor((a.cast("bigint") * num + (den - 1)) / den).cast("int")
 
 
 class Threshold:
@@ -88,66 +90,118 @@ class Threshold:
         self.num, self.den = num, den
 
     def prefix(self, n: Column) -> Column:
+        """Of n words so many rarest hold one that a like line has too."""
         return n - up(n, self.num, self.den) + 1
 
+    def short(self, n: Column) -> Column:
+        """The same, for like lines of as many words or more."""
+        return n - F.floor((n * 2 * self.num + (self.num + self.den - 1)) / (self.num + self.den)) + 1
+
     def possible(self, a: dict[str, Column], b: dict[str, Column]) -> Column:
         """Length, positional and bitmap filter for lines that share a word, number pos (from 0) in their orders, if it is the first they share."""
         small, large, both = F.least(a["len"], b["len"]), F.greatest(a["len"], b["len"]), a["len"] + b["len"]
         rest = F.least(a["len"] - a["pos"], b["len"] - b["pos"])
-        apart = (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) + F.bit_count(a["sig2"].bitwiseXOR(b["sig2"]))).cast("int")
-        # at least both * num / (num + den) words are common, so at most both * (den - num) / (num + den) are not
-        return (small * self.den >= large * self.num) & (rest * (self.num + self.den) >= both * self.num) & (apart * (self.num + self.den) <= both * (self.den - self.num))
+        return (small * self.den >= large * self.num) & (rest * (self.num + self.den) >= both * self.num) & self.close(a, b, both)
+
+    def close(self, a: dict[str, Column], b: dict[str, Column], both: Column) -> Column:
+        """At least both * num / (num + den) words are common, so at most both * (den - num) / (num + den) are not."""
+        xor, half = a["sig"].bitwiseXOR(b["sig"]), a["sig2"].bitwiseXOR(b["sig2"])
+        apart = F.when(half.isNull(), F.bit_count(xor)).otherwise(F.bit_count(half) + F.bit_count(xor.bitwiseXOR(half)))
+        return apart.cast("bigint") * (self.num + self.den) <= both * (self.den - self.num)
+
+    def met(self, common: Column, both: Column) -> Column:
+        return common.cast("bigint") * (self.num + self.den) >= both.cast("bigint") * self.num
+
+
+def distinct_lines(rows: DataFrame, stride: int, like: Threshold) -> DataFrame:
+    """id (the first of equal lines), line, len (its number of different words), sig, sig2 and t: the rarest of its words that a like line may share."""
+    ranks = levels(rows)
+    once = lines(rows, stride).groupBy("line").agg(F.min("id").alias("id"))
+    hashes = F.array_remove(F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    once = once.select("id", "line", keys(hashes, ranks).alias("k"))
+    n = F.size("k")
+    return once.select("id", "line", n.alias("len"), *signature(F.col("k"), n), F.slice(F.sort_array("k"), F.lit(1), like.prefix(n)).alias("t"))
+
+
+def postings(once: DataFrame) -> DataFrame:
+    """t, id, sig, sig2, lp: the words lines are found by, the lines and, in one long, the line's size and the word's place in its order."""
+    flat = once.select("id", "len", "sig", "sig2", F.posexplode("t").alias("pos", "t"))
+    return flat.select("t", "id", "sig", "sig2", F.shiftleft(F.col("len").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint")).alias("lp"))
+
+
+def side(of: str) -> dict[str, Column]:
+    lp = F.col(f"{of}lp")
+    return {"id": F.col(f"{of}id"), "len": F.shiftright(lp, 32), "pos": lp.bitwiseAND((1 << 32) - 1), "sig": F.col(f"{of}sig"), "sig2": F.col(f"{of}sig2")}
+
+
+def named(df: DataFrame, s: str) -> DataFrame:
+    return df.select("t", *[F.col(c).alias(f"{s}{c}") for c in ("id", "sig", "sig2", "lp")])
+
 
-    def met(self, common: Column, a: Column, b: Column) -> Column:
-        return common * (self.num + self.den) >= (a + b) * self.num
+def met(x: DataFrame, y: DataFrame, like: Threshold) -> DataFrame:
+    """x, y: lines x and earlier lines y that share a word and pass the filters. x, y: postings."""
+    both = named(x, "x").join(named(y, "y"), "t").where((F.col("xid") > F.col("yid")) & like.possible(side("x"), side("y")))
+    return both.select(F.col("xid").alias("x"), F.col("yid").alias("y"))
 
 
-def among(once: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of once that may be in ids (id): all that are, and few others while ids fill less than the filter's fixed bits."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    parts = lambda c: (F.shiftright(c, 12).alias("_bucket"), F.shiftright(c, 6).bitwiseAND(63).cast("int").alias("_word"), c.bitwiseAND(63).cast("int").alias("_bit"))
-    filter_ = ids.select(*parts(bit)).groupBy("_bucket", "_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
-    filter_ = filter_.groupBy("_bucket").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))
-    found = once.select("*", *parts(bit)).join(F.broadcast(filter_), "_bucket")
-    return found.where("coalesce(getbit(_map[_word], _bit), 0) = 1").select("id", "t")
+def met_within(flat: DataFrame, like: Threshold) -> DataFrame:
+    """The same of all postings and themselves: of two lines the shorter one is found by fewer of its words. Both sides read one exchange."""
+    dealt = flat.where("t is not null and lp is not null").repartition("t")  # with the filters that Spark would add to one side alone
+    a, b = side("x"), side("y")
+    short = named(dealt, "y").where(b["pos"] + F.rand() * 0 < like.short(b["len"]))  # a filter that Spark moved below the exchange would make it another one
+    both = named(dealt, "x").join(short, "t").where(((b["len"] < a["len"]) | (b["len"] == a["len"]) & (a["id"] > b["id"])) & like.possible(a, b))
+    return both.select(F.greatest("xid", "yid").alias("x"), F.least("xid", "yid").alias("y"))
 
 
 def verified(once: DataFrame, pairs: DataFrame, like: Threshold) -> DataFrame:
-    """id of the lines x of pairs (x, y: ids) that are like their y."""
-    ids = written(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "asked", clean=True)
-    spelt = among(once, ids)
-    both = pairs.join(spelt.toDF("x", "xt"), "x").join(spelt.toDF("y", "yt"), "y")
-    return both.where(like.met(F.size(F.array_intersect("xt", "yt")), F.size("xt"), F.size("yt"))).select(F.col("x").alias("id")).distinct()
-
-
-def like_earlier(rows: DataFrame, like: Threshold, hot: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(id of the first of equal lines, id of those of them where an earlier, different line is like it). rows: _n, row.text."""
-    once = written(distinct_lines(rows), "lines", clean=True)
-    ranks = rarity(once)
-    n = F.size("t")
-    ordered = written(once.select("id", n.alias("len"), *signature(F.col("t")), rarest(F.col("t"), like.prefix(n), ranks).alias("t")), "ordered")
-    filed = ordered.select("id", "len", "sig", "sig2", F.posexplode("t").alias("pos", "t"))
-    side = lambda df, s: df.select(*[F.col(c).alias(c if c == "t" else f"{s}{c}") for c in df.columns])
-    of = lambda s: {c: F.col(f"{s}{c}") for c in ("len", "pos", "sig", "sig2")}
-
-    crowded = written(filed.groupBy("t").count().where(F.col("count") > hot).select("t"), "crowded", clean=True)
-    heads = filed.join(crowded, "t", "left_semi").withColumn("y", F.min(F.struct("id", "len", "sig", "sig2", "pos")).over(Window.partitionBy("t")))
-    first = heads.where(F.col("id") > F.col("y.id")).where(like.possible({c: F.col(c) for c in ("len", "pos", "sig", "sig2")}, {c: F.col(f"y.{c}") for c in ("len", "pos", "sig", "sig2")}))
-    pairs = written(first.select(F.col("id").alias("x"), F.col("y.id").alias("y")).distinct(), "pairs", clean=True)
-    removed = written(verified(once, pairs, like), "removed", clean=True)
-
-    # written, so that both sides of the join are one exchange, read twice; a removed line is marked by a high bit of
-    # pos, which both sides carry, and the mark is compared with the other side, as a filter of one side would tell them apart
-    gone = 1 << 24
-    marked = written(ordered.join(removed.withColumn("mark", F.lit(gone)), "id", "left").select("id", "len", "sig", "sig2", F.coalesce("mark", F.lit(0)).alias("mark"), "t"), "marked", clean=True)
-    marked = marked.select("id", "len", "sig", "sig2", "mark", F.posexplode("t").alias("pos", "t")).select("id", "len", "sig", "sig2", (F.col("pos") + F.col("mark")).alias("pos"), "t")
-    pos = lambda s: of(s) | {"pos": F.col(f"{s}pos").bitwiseAND(gone - 1)}
-    met = side(marked, "x").join(side(marked, "y"), "t").where((F.when(F.col("xpos") < gone, F.col("xid")).otherwise(-1) > F.col("yid")) & (F.col("xid") > F.col("yid")) & like.possible(pos("x"), pos("y")))
-    pairs = written(met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct(), "pairs", clean=True)
-    return once.select("id"), written(removed.union(verified(once, pairs, like)).distinct(), "removed", clean=True)
-
-
-def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """id of the lines x of pairs (x, y: ids) that are like their y, by their words."""
+    pairs = written(pairs.distinct(), "pairs", clean=True)
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    spelt = once.select("id", "line").join(ids, "id", "left_semi").select("id", F.array_remove(F.array_distinct(words(F.col("line"))), "").alias("w"))
+    spelt = written(spelt, "spelt", clean=True)
+    both = pairs.join(spelt.toDF("x", "xw"), "x").join(spelt.toDF("y", "yw"), "y")
+    return both.where(like.met(F.size(F.array_intersect("xw", "yw")), F.size("xw") + F.size("yw"))).select(F.col("x").alias("id")).distinct()
+
+
+def like_earlier(once: DataFrame, like: Threshold, hot: int) -> DataFrame:
+    """id of the lines of once where an earlier, different line is like it."""
+    flat = postings(once)
+    groups = flat.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    crowded = written(groups.where(F.col("n") > hot).select("t", "least"), "crowded", clean=True)
+    heavy = written(flat.join(crowded, "t"), "heavy", clean=True)
+    removed = written(verified(once, met(heavy, heavy.where("id = least"), like), like), "removed", clean=True)
+
+    # in a crowded group only those that stay so far ask, so a group of near copies isn't squared; other groups are at
+    # most `hot` rows
+    usual = flat.join(crowded, "t", "left_anti")
+    pairs = met_within(usual, like).union(met(heavy.join(removed, "id", "left_anti"), heavy, like))
+    return written(removed.union(verified(once, pairs, like)).distinct(), "removed", clean=True)
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with numbers _n (0 or more) and a stride, such that _n * stride + place of a line is a long for every line."""
+    room = (1 << 63) - 1
+    widest = docs.agg(F.max(F.octet_length("text")), F.count(F.lit(1))).first()
+    stride = (widest[0] or 0) + 2  # a text has no more lines than bytes and one
+    if (widest[1] + 1) * stride > room:
+        stride = (docs.agg(F.max(F.size(F.split("text", "\n")))).first()[0] or 0) + 1
+        if (widest[1] + 1) * stride > room:
+            raise ValueError("more lines than longs")
+    return numbered(docs, below=room // stride), stride
+
+
+def rebuilt(text: Column, kept: Column) -> Column:
+    """Of a text and the places of those lines with words that stay: the text that is left and its number of lines before and after."""
+
+    def of(s: Column) -> Column:
+        blank = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~has_words(F.get(s, i)))
+        left = F.sort_array(F.concat(F.coalesce(kept, F.array().cast("array<int>")), blank))
+        return F.transform(F.array(left), lambda p: F.struct(F.array_join(F.transform(p, lambda i: F.get(s, i)), "\n").alias("text"), F.size(s).alias("n"), F.size(p).alias("left")))
+
+    return F.get(F.flatten(F.transform(F.array(F.split(text, "\n")), of)), 0)  # the array binds the split text: it is made once
+
+
+def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, hot: int = 512) -> DataFrame:
     """All of docs' rows and columns in a struct named row, with text (the lines that stay), n_lines and n_removed.
 
     Lines are what line feeds separate; a line's words are what white space (\\x20, \\x09 to \\x0D) separates,
@@ -155,16 +209,15 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     similarity of num / den or more in their sets of words (whether or not that line itself goes). Lines
     without words stay. A null text has no lines and stays null; a text that loses all lines becomes empty.
     Rows of one doc_id follow each other in the order of their texts, null ids come first. An empty table
-    gives no rows.
+    gives no rows. hot: words that so many lines are found by are crowded, which changes the cost alone.
     """
-    rows = numbered(docs, below=1 << (62 - PLACE_BITS))
-    first, gone = like_earlier(rows, Threshold(num, den))
-    blank = lines(rows).where(~has_words(F.col("line"))).select("id")
-    kept = first.join(gone, "id", "left_anti").union(blank)
-    place = F.col("id").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
-    kept = kept.groupBy(F.shiftright("id", PLACE_BITS).alias("_n")).agg(F.sort_array(F.collect_list(place)).alias("kept"))
-    split = F.split("row.text", "\n")
-    text = F.when(F.col("row.text").isNotNull(), F.coalesce(F.array_join(F.transform("kept", lambda i: F.get(split, i)), "\n"), F.lit("")))
-    n = F.coalesce(F.size(split), F.lit(0))
-    n = F.when(F.col("row.text").isNull(), 0).otherwise(n)
-    return rows.join(kept, "_n", "left").select("row", text.alias("text"), n.alias("n_lines"), (n - F.coalesce(F.size("kept"), F.lit(0))).alias("n_removed"))
+    rows, stride = placed(docs)
+    like = Threshold(num, den)
+    once = written(distinct_lines(rows, stride, like), "lines", clean=True)
+    gone = like_earlier(once, like, hot)
+    kept = once.select("id").join(gone, "id", "left_anti")
+    kept = kept.groupBy(F.expr(f"id div {stride}").alias("_n"))
+    kept = kept.agg(F.collect_list((F.col("id") % stride).cast("int")).alias("kept"))
+    made = rows.join(kept, "_n", "left").select("row", F.when(F.col("row.text").isNotNull(), rebuilt(F.col("row.text"), F.col("kept"))).alias("made"))
+    n, left = (F.coalesce(F.col(f"made.{c}"), F.lit(0)) for c in ("n", "left"))
+    return made.select("row", F.col("made.text").alias("text"), n.alias("n_lines"), (n - left).alias("n_removed"))

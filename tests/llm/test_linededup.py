@@ -69,7 +69,7 @@ def test_crowded_words(spark, monkeypatch):
     want = sorted((d, t, a, b) for d, t, a, b in brute(docs))
     assert got(linededup.dedup_lines(df)) == want
     original = linededup.like_earlier
-    monkeypatch.setattr(linededup, "like_earlier", lambda r, t: original(r, t, hot=3))
+    monkeypatch.setattr(linededup, "like_earlier", lambda once, like, hot: original(once, like, 3))
     assert got(linededup.dedup_lines(df)) == want and sum(x[3] for x in want) == 12
 
 
@@ -84,3 +84,32 @@ def test_repeated_null_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b", "p"), (3, "a b\nc", "q"), (3, "a b\nc", "q"), (1, None, None), (2, "", "r")], kind)
     out = sorted(((r["row"]["doc_id"] or -1), r["text"], r["n_lines"], r["n_removed"], r["row"]["t"]) for r in linededup.dedup_lines(df).collect() if r["text"] is not None)
     assert out == [(-1, "a b", 1, 0, "p"), (2, "", 1, 0, "r"), (3, "", 2, 2, "q"), (3, "c", 2, 1, "q")]
+
+
+def test_words_of_like_hashes(spark):
+    """w254943 and w267111 have the same 32-bit hash; the lines share four words of six."""
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(F.hash(F.lit("w254943")) == F.hash(F.lit("w267111"))).first()[0]
+    docs = [(1, "alpha beta gamma delta w254943"), (2, "alpha beta gamma delta w267111")]
+    assert [x[3] for x in got(linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))] == [0, 0]
+
+
+def test_a_text_of_very_many_lines(spark):
+    """Lines without words before, between and after; the text's places need more bits than the other's ids leave."""
+    docs = [(2**40, "a b c\n" + "\n" * 300_000 + "d e f\nd e f"), (2**40 + 1, "d e f\nx y"), (5, "x y")]
+    out = {d: (len(t), n, k) for d, t, n, k in got(linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert out == {2**40: (300_011, 300_003, 1), 2**40 + 1: (0, 2, 2), 5: (3, 1, 0)}
+
+
+def test_one_very_long_line(spark):
+    rng = random.Random(9)
+    long = [f"v{rng.randrange(10**9)}" for _ in range(60_000)]
+    docs = [(1, " ".join(long)), (2, " ".join(long[:50_000])), (3, " ".join(long[:30_000])), (4, "\t".join(reversed(long)))]
+    assert [x[3] for x in got(linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))] == [0, 1, 0, 1]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", 1, 2, 3, 4), (2, "a b\nc", 5, 6, 7, 8)], "doc_id long, text string, `a.b` int, id int, _n int, `row` int")
+    out = sorted((r["row"]["doc_id"], r["row"]["a.b"], r["row"]["_n"], r["text"], r["n_removed"]) for r in linededup.dedup_lines(df).collect())
+    assert out == [(1, 1, 3, "a b", 0), (2, 5, 7, "c", 1)]
