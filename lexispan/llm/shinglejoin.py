@@ -3,8 +3,9 @@
 All shingles have one order: by hash, and those that many documents of a sample hold come last. Two sets as
 like as the threshold share a shingle among the first few of each (prefix filter), are of like size (length
 filter), have enough left from the first one they share (positional filter) and differ in few bits of their
-shingles' parities (bitmap filter; a shingle that only one of them has changes one bit). What passes is
-verified on the whole sets of 64-bit hashes. The sample changes costs alone: any order is exact.
+shingles' parities (bitmap filter; a shingle that only one of them has changes one bit, and large sets have
+more bits). What passes is verified on the whole sets of 64-bit hashes. The sample changes costs alone: any
+order is exact.
 
 Rows are asked for components, so equal sets are one from the start, all that share a shingle first meet the
 smallest of them, and then only those meet that are not of one component yet.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import parts, small_batches, strings, written
 
-#: Bits of a set's parities.
+#: Bits of a small set's parities; a larger one has as many as shingles, rounded up to a power of two.
 BITS = 1024
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -37,6 +38,12 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), "<u8", len(grams))
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """The parities of the number of shingles that fall on each bit, 64 to a number. Halves folded on each other are those of half as many bits."""
+    bits = max(BITS, 1 << (len(h) - 1).bit_length()) if len(h) else BITS
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+
+
 def lists(of: list[np.ndarray]) -> pa.Array:
     """An Arrow column of lists of longs."""
     ends = np.cumsum([0, *map(len, of)]).astype(np.int32)
@@ -88,7 +95,7 @@ def filed(rows: DataFrame, words: int, late: np.ndarray, num: int, den: int) ->
                 h = np.unique(h)
                 d.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64))
                 n.append(len(h))
-                sig.append(np.packbits(np.bincount((h % BITS).astype(np.int64), minlength=BITS) & 1).view(np.uint64))
+                sig.append(parities(h))
                 t.append(prefix(h))
             d = np.array(d, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "fp": np.array(fp, np.uint64).view(np.int64), "d1": d[:, 0], "d2": d[:, 1], "len": pa.array(n, pa.int32()), "sig": lists(sig), "t": lists(t)})
@@ -117,7 +124,10 @@ def alike(own: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (u, v: ids) that the bitmap filter lets pass. own: id, len, sig."""
     sig = own.select("id", "len", "sig")
     both = pairs.join(sig.toDF("u", "un", "us"), "u").join(sig.toDF("v", "vn", "vs"), "v")
-    apart = F.aggregate(F.zip_with("us", "vs", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    n = F.least(F.size("us"), F.size("vs"))
+    # the length filter leaves no set of more than twice the other's bits
+    half = lambda s: F.when(F.size(s) > n, F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(s))
+    apart = F.aggregate(F.zip_with(half("us"), half("vs"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return both.where(apart * (num + den) <= (F.col("un") + F.col("vn")).cast("long") * (den - num)).select("u", "v")
 
 

@@ -168,13 +168,18 @@ def linked(points: np.ndarray, r: int, leaf: int = 64) -> np.ndarray:
     return points[parent]
 
 
-def link(fps: DataFrame, r: int, shard_size: int, most_shards: int) -> DataFrame:
-    """node, root for all fingerprints but the roots in components of several, of distinct fps (fp long)."""
+def link(fps: DataFrame, r: int, shard_size: int, sample: int = 1 << 20) -> DataFrame:
+    """node, root for all fingerprints but the roots in components of several, of distinct fps (fp long).
+
+    Shards hold about shard_size fingerprints. The dealing tree comes from 64 of each, but of no more than `sample`
+    in all: beyond 2 ** 17 shards (2 ** 31 fingerprints at the usual size) they are as many and grow, a megabyte
+    for each 2 ** 34 fingerprints.
+    """
     n = fps.count()
-    shards = max(1, min(most_shards, round(n / shard_size)))
+    shards = max(1, min(sample // 8, round(n / shard_size)))
     tree = None
-    if shards > 1:  # a sample of about 64 fingerprints a shard, whatever the size
-        share = max(1, int(n / (64 * shards)))
+    if shards > 1:
+        share = max(1, int(n / min(64 * shards, sample)))
         some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).toArrow()["fp"].to_numpy()
         tree = Tree(np.sort(some).view(np.uint64), shards, r)
 
@@ -194,7 +199,7 @@ def link(fps: DataFrame, r: int, shard_size: int, most_shards: int) -> DataFrame
     return found.toDF("node", "root") if tree is None else stars(found)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, shard_size: int = 16384, most_shards: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, shard_size: int = 16384) -> DataFrame:
     """doc_id, fp and component_id of every row of docs (doc_id, text); null texts count as empty.
 
     Rows link whose fingerprints differ in at most so many bits; component_id is the smallest doc_id
@@ -203,35 +208,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, shard_size:
     """
     rows = written(fingerprints(docs, words), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    tops = link(classes, bits, shard_size, most_shards)
+    tops = link(classes, bits, shard_size)
     labelled = classes.join(tops, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(labelled.join(firsts, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 3, num: int = 4, den: int = 5, shard_size: int = 16384, most_shards: int = 4096) -> DataFrame:
-    """docs without the rows that have a near duplicate of smaller doc_id in their component; all columns stay.
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 3, num: int = 4, den: int = 5, shard_size: int = 16384) -> DataFrame:
+    """docs without the rows that have a near duplicate before them in their component; all columns stay.
 
     Rows link whose sets of word shingles have a Jaccard similarity of num / den or more, and those whose
-    fingerprints differ in at most so many bits. A row of null doc_id stays. Of rows that repeat a doc_id
-    one stays (that of the least text).
+    fingerprints differ in at most so many bits. Rows follow each other by doc_id, null first; rows of one
+    doc_id are rows of their own, in an order of their texts' hashes. Null texts count as empty; texts without
+    words are alike. An empty table gives no rows.
     """
-    from pyspark.sql import Window
-
     all_ = numbered(docs)
     rows = all_.select(F.col("_n").alias("id"), F.col("row.text").alias("text"))
     own = written(filed(rows, words, common(rows, words), num, den), "filed")
     classes = written(own.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    tops = link(classes, bits, shard_size, most_shards)
+    tops = link(classes, bits, shard_size)
     same = own.join(classes, "fp").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     firsts = classes.select("fp", "first")
     near = tops.join(firsts.toDF("node", "u"), "node").join(firsts.toDF("root", "v"), "root").select("u", "v")
-    found = like(rows, own, same.union(near), words, num, den)
-    found = written(all_.select("_n", "row.doc_id").join(found, F.col("_n") == F.col("node"), "left").select("_n", "doc_id", F.coalesce("root", "_n").alias("root")), "components")
-    least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = written(found.join(least, "root").where("doc_id <> least").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        key = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-        kept = kept.withColumn("_place", F.row_number().over(key)).where("_place = 1 or doc_id is null").drop("_place")
-    return kept
+    found = written(like(rows, own, same.union(near), words, num, den).select(F.col("node").alias("_n")).distinct(), "gone")
+    return all_.join(found, "_n", "left_anti").select("row.*")
