@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, ranges
+from .common import numbered, parts, ranges
 
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -64,7 +64,7 @@ class Sampler:
             code = mix(words[:, None] + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             return (bits << np.uint64(32)) | (code >> np.uint64(32))
 
-    def fingerprints(self, texts: list[str], slab: int = 16384) -> np.ndarray:
+    def fingerprints(self, texts: list[str], slab: int = 16384, most: int = 1 << 17) -> np.ndarray:
         """One row of codes a text."""
         known: dict[tuple[bytes, int], int] = {}
         of, sizes = [], []
@@ -77,9 +77,15 @@ class Sampler:
             return out
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in known), np.uint64, len(known))
         weights = np.fromiter((n for _, n in known), np.float64, len(known))
+        of_, ends = np.array(of, np.intp), np.cumsum(sizes)
+        if len(known) > most:  # too many words to hold their draws: each text's are reduced bit by bit, and words that texts share are drawn anew
+            for i, (size, end) in enumerate(zip(sizes, ends.tolist(), strict=True)):
+                if size:
+                    own = of_[end - size : end]
+                    least = [self.drawn(words[own[j : j + 512]], weights[own[j : j + 512]]).min(axis=0) for j in range(0, size, 512)]
+                    out[i] = np.minimum.reduce(least).astype(np.uint16)
+            return out
         table = np.concatenate([self.drawn(words[i : i + 512], weights[i : i + 512]) for i in range(0, len(words), 512)])
-        of_ = np.array(of, np.intp)
-        ends = np.cumsum(sizes)
         first = 0
         while first < len(texts):
             start = ends[first] - sizes[first]
@@ -113,26 +119,25 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame) -> DataFrame:
     """_shard, _own, doc_id, text in partitions of whole shards, in the order of ids (nulls first), each shard ending with a copy of the row that comes next (_own false).
 
-    Only one row a shard is copied; a shard's first id is all that the driver learns of it.
+    Only one row a shard is copied; a shard's first number is all that the driver learns of it.
     """
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    cut, cuts = ranges(docs.select("doc_id", "text", key.alias("_key")), "_key", rows=2000)
-    firsts = [(r["_shard"], r["k"]) for r in cut.groupBy("_shard").agg(F.min("_key").alias("k")).orderBy("_shard").collect()]
-    place = lambda s, own: F.struct(F.lit(s).cast("int").alias("s") if isinstance(s, int) else s.cast("int").alias("s"), F.lit(own).alias("o"))
-    alone = F.array(place(F.col("_shard"), True))
-    if firsts:
-        before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-        looked = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_key")]
-        alone = F.when(F.col("_key").isin(list(before)), F.array(place(F.col("_shard"), True), place(looked, False))).otherwise(alone)
-    dealt = cut.select("doc_id", "text", "_key", F.explode(alone).alias("p")).select(F.col("p.s").alias("_shard"), F.col("p.o").alias("_own"), "doc_id", "text", "_key")
-    return dealt.repartition(max(1, (len(cuts) + 1) // 4), "_shard").sortWithinPartitions("_shard", F.desc("_own"), "_key", "text").drop("_key")
+    rows = numbered(docs.select("doc_id", "text")).select("_n", "row.doc_id", "row.text")
+    cut, cuts = ranges(rows, "_n", rows=2000)
+    firsts = [(r["_shard"], r["k"]) for r in cut.groupBy("_shard").agg(F.min("_n").alias("k")).orderBy("_shard").collect()]
+    before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
+    looked = docs.sparkSession.createDataFrame(before, "_n long, _before int")  # a row a shard
+    place = lambda shard, own: F.struct(F.col(shard).alias("s"), F.lit(own).alias("o"))
+    own, copied = place("_shard", True), place("_before", False)
+    dealt = cut.join(F.broadcast(looked), "_n", "left").select("_n", "doc_id", "text", F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, copied))).alias("p"))
+    dealt = dealt.select(F.col("p.s").alias("_shard"), F.col("p.o").alias("_own"), "doc_id", "text", "_n")
+    return dealt.repartition(max(1, (len(cuts) + 1) // 4), "_shard").sortWithinPartitions("_shard", F.desc("_own"), "_n").drop("_n")
 
 
 def document_fingerprints(docs: DataFrame, samples: int = 64) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs (doc_id, text).
 
     The next document is that of the next doc_id; after the last comes the first; rows of equal id follow
-    each other in the order of their texts, null ids come first. Null texts count as empty. Texts without
+    each other in an order of their texts' hashes, null ids come first. Null texts count as empty. Texts without
     words have fingerprints of zeros, which agree with each other and with no other. One row alone is its
     own next. An empty table gives no rows.
     """

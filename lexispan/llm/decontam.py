@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows, checkpointed
+from .common import by_rows, numbered, written
 
 #: Bytes that are part of a word stay, A to Z in lower case; any other becomes a space. Bytes of letters beyond ASCII stay.
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -83,46 +83,54 @@ def offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(chars(at[a][0]), chars(at[b - 1][1])) for a, b in spans]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, limit_bytes: int = 32_000_000) -> DataFrame:
+FOUND = "n_words int, hits array<struct<first:int,end:int,start:int,stop:int>>, items array<string>"
+
+
+def scanned(docs: DataFrame, items: list[tuple[str, str]], size: int, text: str) -> DataFrame:
+    """docs' rows in a struct named row, with n_words, hits and items, from one automaton over the items."""
+    held = docs.sparkSession.sparkContext.broadcast(windows(items, size))  # of a bounded size
+    cache: dict[str, object] = {}
+
+    def fn(texts: list[str]) -> dict[str, list]:
+        if "a" not in cache:
+            cache["a"] = automaton(held.value)
+        made = defaultdict(list)
+        for t in texts:
+            n, spans, names = scan(t, cache["a"])
+            made["n_words"].append(n)
+            made["items"].append(sorted(names))
+            made["hits"].append([{"first": a, "end": b, "start": s, "stop": e} for (a, b), (s, e) in zip(spans, offsets(t, spans), strict=True)])
+        return made
+
+    return by_rows(docs, fn, FOUND, text)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, limit_bytes: int = 256_000_000) -> DataFrame:
     """All of docs' rows and columns in a struct named row, with n_words, hits and items.
 
     hits: array of (first, end: words; start, stop: characters of the original), in order, apart from each
     other; items: the item ids that occur, sorted as strings. Null or empty texts have no words; null and
-    wordless items have no windows; repeated items count once by id. The items are read in blocks of about
-    limit_bytes of text, each its own automaton and its own scan, so a large benchmark never stands in
-    memory as a whole; the usual benchmark is one block.
+    wordless items have no windows; repeated items count once by id. One automaton holds all windows and the
+    texts are scanned once. A benchmark whose windows exceed limit_bytes, which a worker's memory couldn't
+    hold, is read in blocks, each an automaton and a scan that gives rows for the documents it hits alone.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") * size)).first()[0] or 0
     blocks = max(1, -(-total // limit_bytes))
-    hits = "array<struct<first:int,end:int,start:int,stop:int>>"
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("_text"))
+    own = lambda k: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]  # noqa: E731  of a bounded size
+    if blocks == 1:
+        return scanned(docs, own(0), size, "text")
+    rows = numbered(docs)
+    texts = rows.select("_n", F.col("row.text").alias("text"))
+    found = None
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # of a bounded size
-        held = spark.sparkContext.broadcast(windows([tuple(r) for r in own], size))
-        cache: dict[str, object] = {}
-
-        def fn(texts: list[str], held=held, cache=cache) -> dict[str, list]:
-            if "a" not in cache:
-                cache["a"] = automaton(held.value)
-            made = defaultdict(list)
-            for t in texts:
-                n, spans, names = scan(t, cache["a"])
-                made["n_words"].append(n)
-                made["items"].append(sorted(names))
-                made["hits"].append([{"first": a, "end": b, "start": s, "stop": e} for (a, b), (s, e) in zip(spans, offsets(t, spans), strict=True)])
-            return made
-
-        out = by_rows(out if k == 0 else checkpointed(out), fn, f"n_words int, hits {hits}, items array<string>", "_text")
-        if k == 0:
-            out = out.select(F.col("row.row").alias("row"), F.col("row._text").alias("_text"), "n_words", "hits", "items")
-        else:
-            before = lambda c: F.col(f"row.{c}")
-            out = out.select(before("row").alias("row"), before("_text").alias("_text"), "n_words", F.concat(before("hits"), "hits").alias("hits"), F.array_sort(F.array_union(before("items"), "items")).alias("items"))
-    if blocks > 1:
-        out = out.withColumn("hits", merged(F.col("hits")))
-    return out.drop("_text")
+        part = scanned(texts, own(k), size, "text").where(F.size("items") > 0).select("row._n", "n_words", "hits", "items")
+        part = written(part, "hits")
+        found = part if found is None else found.union(part)
+    found = found.groupBy("_n").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row a block and document
+    counts = scanned(texts, [], size, "text").select("row._n", "n_words")
+    out = rows.join(counts.join(found, "_n", "left"), "_n")
+    return out.select("row", "n_words", merged(F.coalesce("hits", F.array())).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def merged(hits):

@@ -121,7 +121,8 @@ class Model:
 def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 4, batch: int = 32, rate: float = 40.0, rejected: float = 0.0005, seed: int = 0) -> Model:
     """A model of the languages seen. Each text counts twice, as a whole and by one of its lines, so that short texts are known too.
 
-    rejected: the share of rightly labelled calibration texts that may fall below the accepted probability.
+    rejected: the share of rightly labelled calibration texts (whole ones, and up to eight lines of each) that may
+    fall below the accepted probability.
     """
     names = sorted(set(langs))
     if not names:
@@ -129,7 +130,7 @@ def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 4, b
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
     order = rng.permutation(len(texts))
-    held, fit = order[: len(texts) // 5], order[len(texts) // 5 :]
+    held, fit = order[: len(texts) // 5], order[len(texts) // 5 :]  # held: for calibration
     lines = [rng.choice(t.split("\n")) for t in texts]
     pool = [(x, y[i]) for some in (texts, lines) for x, i in zip(bags([some[i] for i in fit]), fit, strict=True) if len(x[0])]
     vectors = rng.normal(0, 0.1, (BUCKETS, size)).astype(np.float32)
@@ -152,7 +153,8 @@ def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 4, b
             step += 1
     model = Model(names, vectors @ layer, bias)
     if len(held):
-        calibrate(model, [texts[i] for i in held] + [lines[i] for i in held], np.concatenate([y[held], y[held]]), rejected)
+        some = [(x, y[i]) for i in held for x in [texts[i], *list(rng.permutation(texts[i].split("\n")))[:8]]]
+        calibrate(model, [x for x, _ in some], np.array([k for _, k in some]), rejected)
     return model
 
 
@@ -172,15 +174,15 @@ def eligible(held_out: int, folds: int) -> Column:
 
 
 def labelled_sample(rows: DataFrame, most: int, *columns: str) -> list:
-    """About `most` rows of a table (doc_id and columns), chosen by a hash of the id, alike at every size; never more than twice as many."""
-    n = rows.count()
-    share = min(1.0, most / max(n, 1))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if share < 1 else rows
-    return sorted(picked.select("doc_id", *columns).limit(2 * most).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, str(r[-1])))
+    """At most `most` rows of a table (doc_id and columns), those of least hash of the id: the same at every run, and chosen alike at every size."""
+    n, order = rows.count(), F.xxhash64("doc_id")
+    if n > 4 * most:  # few rows of other hashes can be among the least, so that each task sends few
+        rows = rows.where(order < -(1 << 63) + (1 << 64) * 2 * most // n)
+    return sorted(rows.select("doc_id", *columns).orderBy(order, "doc_id", *columns).limit(most).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, str(r[-1])))
 
 
 def fitted(docs: DataFrame, most: int = 3000, held_out: int = 2, folds: int = 4) -> Model:
-    """A model from text and lang of at most about `most` documents outside the held-out fold (a documented bound of the training sample)."""
+    """A model from text and lang of at most `most` documents outside the held-out fold (a documented bound of the training sample)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & eligible(held_out, folds))
     some = labelled_sample(rows.select("doc_id", "text", "lang"), most, "text", "lang")
     return train([r["text"] for r in some], [r["lang"] for r in some])

@@ -85,12 +85,12 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: i
     """Packs all documents (doc_id, text; null: empty) into sequences of at most so many tokens, documents and attention cost.
 
     One row a piece: doc_id, piece (from 0), start (the document's ids before it), length, ids_crc32,
-    sequence_id, offset (gapless from 0). Repeated rows and null ids are documents of their own; an empty
-    table gives no rows; other columns are not read. Shards follow the number of pieces, about shard_pieces each.
+    sequence_id, offset (gapless from 0). Repeated rows and null ids are documents of their own, and their
+    places in the written pieces deal them out too; an empty table gives no rows; other columns are not read. Shards follow the number of pieces, about shard_pieces each.
     """
     cut = written(pieces(docs, tokenizer, end, tokens), "pieces")
     shards = max(1, round(cut.count() / shard_pieces))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])

@@ -50,6 +50,16 @@ def features(line: str) -> tuple[float, ...]:
     )
 
 
+def alike(docs: list[np.ndarray], batch: int, cells: int = 1 << 17) -> list[list[int]]:
+    """The documents' numbers in groups of like length, of at most so many documents and, unless one alone has more, so many lines when padded."""
+    groups: list[list[int]] = [[]]
+    for i in sorted(range(len(docs)), key=lambda i: len(docs[i])):
+        if groups[-1] and (len(groups[-1]) == batch or (len(groups[-1]) + 1) * len(docs[i]) > cells):
+            groups.append([])
+        groups[-1].append(i)
+    return groups if docs else []
+
+
 def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Documents' lines (own features) in one array with those of the lines before and after and a constant, and which places are lines."""
     most = max(len(d) for d in docs)
@@ -90,11 +100,9 @@ class Field:
         return one, np.where(real[:, 1:, None, None], np.exp(np.minimum(pair, 0)), 0).sum(axis=1)
 
     def good(self, docs: list[np.ndarray], batch: int = 256) -> list[np.ndarray]:
-        """Each document's lines' probabilities of being good. Documents of like length go together."""
+        """Each document's lines' probabilities of being good."""
         out: list = [None] * len(docs)
-        order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
-        for i in range(0, len(order), batch):
-            some = order[i : i + batch]
+        for some in alike(docs, batch):
             one, _ = self.marginals(*padded([docs[j] for j in some]))
             for k, j in enumerate(some):
                 out[j] = one[k, : len(docs[j]), 1]
@@ -109,7 +117,8 @@ class Field:
 def read(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A text's lines' features and lengths; an empty text is one line of length one."""
     lines = text.split("\n")
-    return np.array([features(x) for x in lines], np.float32), np.array([max(len(x), 1) for x in lines], np.float64)
+    found = [np.array([features(x) for x in lines[i : i + 4096]], np.float32) for i in range(0, len(lines), 4096)]
+    return np.concatenate(found), np.array([max(len(x), 1) for x in lines], np.float64)
 
 
 def shares(found: list[np.ndarray], lengths: list[np.ndarray]) -> np.ndarray:
@@ -132,8 +141,7 @@ def train(texts: list[str], quality: list[int], rounds: int = 3, epochs: int = 8
                 if y[i] == 0:  # its lines that look good may be; the worst one can't
                     labels[i] = (p > 0.5).astype(int)
                     labels[i][int(np.argmin(p))] = 0
-        order = np.array(sorted(range(len(docs)), key=lambda i: len(docs[i])))
-        groups = [order[i : i + batch] for i in range(0, len(order), batch)]
+        groups = alike(docs, batch)
         for e in range(epochs):
             for g in rng.permutation(len(groups)):
                 some = groups[g]
@@ -166,11 +174,11 @@ def fit_curve(crf: Field, s: np.ndarray, y: np.ndarray, steps: int = 400) -> Non
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = 3000, held_out: int = 0, folds: int = 5) -> Field:
-    """A field from text and quality of at most about `most` labelled documents outside the held-out fold (a documented bound of the training sample)."""
+    """A field from text and quality of at most `most` labelled documents outside the held-out fold (a documented bound of the training sample)."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & eligible(held_out, folds)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = labelled_sample(marks, most, "quality")
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["quality"])) for r in some], "doc_id long, _quality int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(4 * most).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_quality").agg(F.min("text").alias("text")).collect()  # one text an id
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([r["text"] or "" for r in rows], [int(r["_quality"] > 0) for r in rows])
 

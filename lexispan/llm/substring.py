@@ -2,8 +2,8 @@
 
 Equal windows of words have equal anchors: of a window's short word runs that of least hash. Neighbouring
 windows of one anchor make a stretch. Stretches whose anchor no other stretch has can't repeat, and of
-stretches that are equal as a whole only the first needs a look; those are found by hashes of anchor and
-content (128 bits). What is left goes to shards by anchor: each shard builds an FM-index of its stretches
+stretches that are equal as a whole only the first needs a look; those are found by a hash of their words'
+spelling (128 bits of XXH3). What is left goes to shards by anchor: each shard builds an FM-index of its stretches
 and streams them through backward search, which gives the windows that occur more than once and where
 first. An anchor of very many different stretches goes to shards window by window instead, each different
 window once. Equal windows always share a shard, so shards don't grow with the corpus but in number.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,8 @@ from .common import numbered, parts, small_batches, strings, written
 from .cws import mix
 from .fmindex import Index
 
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Odd multipliers of the polynomial hashes, for bytes, runs and contents.
-BYTE, RUN, CONTENT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Odd multiplier of the polynomial hash of runs of words.
+RUN = np.uint64(0xC2B2AE3D27D4EB4F)
 PLACE_BITS = 24
 
 
@@ -35,7 +34,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of runs values[i:j] by a polynomial modulo 2**64."""
+    """Hashes of runs values[i:j] by a polynomial modulo 2**64. Different runs may share one; anchors may."""
 
     def __init__(self, values: np.ndarray, base: np.uint64):
         with np.errstate(over="ignore"):
@@ -47,14 +46,25 @@ class Rolling:
             return mix((self.sums[j] - self.sums[i]) * self.back[i] + (j - i).astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' words as hashes, and which text each is of."""
-    flat = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    gap = SPACE[flat]
-    start = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
-    end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    bounds = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    return Rolling(flat.astype(np.uint64) + np.uint64(1), BYTE).of(start, end), np.searchsorted(bounds, start, "right") - 1
+class Words:
+    """All texts' words: spelt with a space before each, where each starts in that, their hashes, and which text each is of."""
+
+    def __init__(self, texts: list[bytes]):
+        own = [t.split() for t in texts]
+        flat = [w for words in own for w in words]
+        self.spelt = memoryview(b"".join([x for w in flat for x in (b" ", w)]))
+        self.starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)])
+        known = dict.fromkeys(flat)
+        for w in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        self.hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        self.of = np.repeat(np.arange(len(texts)), list(map(len, own)))
+
+    def contents(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128 bits of hash of the spelling of each run of words [first, end), as two numbers."""
+        digest, spelt = xxhash.xxh3_128_digest, self.spelt
+        some = [digest(spelt[a:b]) for a, b in zip(self.starts[first].tolist(), self.starts[end].tolist(), strict=True)]
+        return np.frombuffer(b"".join(some), np.int64).reshape(-1, 2)
 
 
 def least(v: np.ndarray, width: int) -> np.ndarray:
@@ -67,30 +77,28 @@ def least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(words: np.ndarray, of: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
-    """anchor, content, text, start, number of windows of each stretch. Blocks keep places within PLACE_BITS; windows at a block's edge belong to one block."""
+    """anchor, text, place of the first word among words, number of windows of each stretch. words: hashes. Blocks keep places within PLACE_BITS; windows at a block's edge belong to one block."""
     block = (1 << PLACE_BITS) - window
     if len(words) > 1 << PLACE_BITS:
         some = [stretches(words[i : i + block + window - 1], of[i : i + block + window - 1], window, run) for i in range(0, len(words), block)]
-        first = [i - int(np.searchsorted(of, of[i])) for i in range(0, len(words), block)]
-        for k, (s, f) in enumerate(zip(some, first, strict=True)):
-            s[3][s[2] == of[k * block]] += f
+        for k, s in enumerate(some):
+            s[2][:] += k * block
         return tuple(np.concatenate(x) for x in zip(*some, strict=True))
     empty = np.zeros(0, np.int64)
+    nothing = (empty.astype(np.uint64), empty, empty.copy(), empty)
     if len(words) < window:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+        return nothing
     i = np.arange(len(words) - run + 1)
     anchor = Rolling(words, RUN).of(i, i + run)
     low = np.uint64((1 << PLACE_BITS) - 1)
     best = least((mix(anchor) & ~low) | i.astype(np.uint64), window - run + 1)
     valid = np.flatnonzero(of[: len(best)] == of[window - 1 :])
     if not len(valid):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+        return nothing
     place = (best[valid] & low).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(valid) != 1)]))
     number = np.diff(np.concatenate([new, [len(valid)]]))
-    start = valid[new]
-    begin = np.searchsorted(of, of[start])
-    return anchor[place[new]], Rolling(words, CONTENT).of(start, start + number + window - 1), of[start], start - begin, number
+    return anchor[place[new]], of[valid[new]], valid[new], number
 
 
 def look(window: int):
@@ -128,21 +136,24 @@ def repeats(rows: DataFrame, window: int, run: int, shard_words: int, hot: int,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, chars=1_500_000):
-            anchor, content, of, start, n = stretches(*word_hashes([t.encode() for t in strings(b.column(1))]), window, run)
-            order = np.lexsort((start, content, anchor, of))
-            same = (of[order][1:] == of[order][:-1]) & (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])
+            w = Words([t.encode() for t in strings(b.column(1))])
+            anchor, of, at, n = stretches(w.hashes, w.of, window, run)
+            content = w.contents(at, at + n + window - 1)
+            start = at - np.searchsorted(w.of, of)
+            order = np.lexsort((start, content[:, 1], content[:, 0], of))
+            same = (of[order][1:] == of[order][:-1]) & (content[order][1:] == content[order][:-1]).all(axis=1)
             first = np.ones(len(of), bool)
             first[order[1:]] = ~same
-            yield pa.RecordBatch.from_pydict({"h": anchor.view(np.int64), "c": content.view(np.int64), "_n": b.column(0).take(pa.array(of)), "start": start.astype(np.int32), "n": n.astype(np.int32), "first": first})
+            yield pa.RecordBatch.from_pydict({"h": anchor.view(np.int64), "c": content[:, 0], "d": content[:, 1], "_n": b.column(0).take(pa.array(of)), "start": start.astype(np.int32), "n": n.astype(np.int32), "first": first})
 
-    made = rows.select("_n", "text").mapInArrow(cut, "h long, c long, _n long, start int, n int, first boolean")
+    made = rows.select("_n", "text").mapInArrow(cut, "h long, c long, d long, _n long, start int, n int, first boolean")
     # written first, so that Spark can split a hot anchor in the joins: their sides are plain exchanges
     often = written(made.groupBy("h").count().where("count > 1").select("h"), "often")
     some = written(made.join(often, "h"), "stretches")
-    firsts = some.groupBy("h", "c").agg(F.min("_n").alias("earliest"))
+    firsts = some.groupBy("h", "c", "d").agg(F.min("_n").alias("earliest"))
     different = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
     firsts = written(firsts.join(different, "h"), "firsts")
-    known = written(some.join(firsts, ["h", "c"]).select("h", "c", "_n", "start", "n", (F.col("first") & (F.col("_n") == F.col("earliest"))).alias("is_first"), "k"), "compared")
+    known = written(some.join(firsts, ["h", "c", "d"]).select("h", "_n", "start", "n", (F.col("first") & (F.col("_n") == F.col("earliest"))).alias("is_first"), "k"), "compared")
     again = known.where("not is_first").select("_n", "start", "n")
     asked = known.where("is_first and k > 1")
     shards = max(1, -(-(asked.agg(F.sum(F.col("n") + window)).first()[0] or 0) // shard_words))
@@ -162,7 +173,7 @@ def repeats(rows: DataFrame, window: int, run: int, shard_words: int, hot: int,
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(out[x], k) for x, k in zip(names, kinds, strict=True)], names)
 
-    spelt = dealt.join(lists.hint("shuffle_hash"), "_n").select("_n", "doc_id", "text", "asked").mapInArrow(spell, "_n long, start int, n int, key long, hot boolean, words string")
+    spelt = dealt.join(lists, "_n").select("_n", "doc_id", "text", "asked").mapInArrow(spell, "_n long, start int, n int, key long, hot boolean, words string")
     usual = spelt.where("not hot")
     found = usual.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "_n", "start", "n", "words").groupBy("shard").applyInArrow(_without_shard(look(window)), "_n long, start int, n int")
     if asked.where(F.col("k") > hot).limit(1).count():
@@ -186,9 +197,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, run: int = 6, shard_words:
     come first. An empty table gives no rows.
     """
     rows = numbered(docs.select("doc_id", "text")).select("_n", "row.doc_id", "row.text")
-    spark = docs.sparkSession
-    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(n, "_n")  # the texts move once: both joins read this exchange
+    dealt = rows.repartition("_n")  # the texts move once: both joins read this exchange
     found = repeats(rows, window, run, shard_words, hot, dealt)
     lists = found.groupBy("_n").agg(F.collect_list(F.struct("start", "n")).alias("found"))
 
@@ -212,4 +221,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, run: int = 6, shard_words:
                 gone.append(int(out.sum()))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span)], ["doc_id", "text", "n_words", "n_removed", "spans"])
 
-    return dealt.join(lists.hint("shuffle_hash"), "_n", "left").select("_n", "doc_id", "text", "found").mapInArrow(keep, "doc_id long, text string, n_words long, n_removed long, spans array<struct<first:int,end:int>>")
+    return dealt.join(lists, "_n", "left").select("_n", "doc_id", "text", "found").mapInArrow(keep, "doc_id long, text string, n_words long, n_removed long, spans array<struct<first:int,end:int>>")

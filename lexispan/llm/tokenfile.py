@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import parts, ranges, scratch, strings
+from .common import numbered, parts, ranges, scratch, strings
 
+#: Parquet keeps payloads uncompressed and apart, so one is read without those beside it.
+AS_IS = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1"}
 MAGIC, DIRECTORY_BITS = b"DAC1", 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -48,8 +50,8 @@ def pack(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None]) -> byte
 class Segment:
     """A packed segment, read in place."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, data: bytes | pa.Buffer):
+        if bytes(data[:4]) != MAGIC:
             raise ValueError("not a segment of directly addressable codes")
         docs, self.n_tokens, n_levels = struct.unpack_from("<QQQ", data, 4)
         at = 28
@@ -108,11 +110,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     """Writes all documents' ids (doc_id, text; null: empty), each with the end id, in ascending doc_id order (nulls first).
 
     One row a segment: shard and segment (both in the order of documents), n_docs, before (ids of the shard's
-    earlier segments), n_tokens, payload. Rows of equal doc_id stay in the order of their texts. Any store
-    that Spark writes to will do.
+    earlier segments), n_tokens, payload. Rows of equal doc_id stand in an order of their texts' hashes. Any store
+    that Spark writes to will do. Payloads are stored as they are, each a page of its own.
     """
-    cut, cuts = ranges(docs.select("doc_id", "text"), "doc_id", rows=2000)
-    dealt = cut.repartition(max(1, (len(cuts) + 1) // 4), "_shard").sortWithinPartitions("_shard", "doc_id", "text")
+    rows = numbered(docs.select("doc_id", "text")).select("row.doc_id", "row.text", "_n")
+    cut, cuts = ranges(rows, "_n", rows=2000)
+    dealt = cut.repartition(max(1, (len(cuts) + 1) // 4), "_shard").sortWithinPartitions("_shard", "_n").select("doc_id", "text", "_shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaces_dropped=False, end=end)
@@ -137,23 +140,60 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
         if held:
             yield out()
 
-    dealt.mapInArrow(run, "shard int, segment int, n_docs long, before long, n_tokens long, payload binary").write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, "shard int, segment int, n_docs long, before long, n_tokens long, payload binary").write.options(**AS_IS).parquet(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """From the files at path, one row a document: doc_id, start, n_tokens, ids_crc32."""
-    files = spark.read.parquet(path)
+def shard_starts(files: DataFrame) -> dict[int, int]:
+    """The ids before each shard."""
     totals = {r["shard"]: r["n"] for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}  # at most one row a shard
     starts, total = {}, 0
     for s in sorted(totals):
         starts[s] = total
         total += totals[s]
+    return starts
+
+
+def tokens_at(spark, path: str, places: list[int]) -> DataFrame:
+    """place, token: the ids at the given places among all ids of the files at path; a place that is none gives no row.
+
+    The segments' sizes alone tell which hold them; of the others no payload is read, and of these each id's byte a
+    level and its rank's block.
+    """
+    wanted = np.unique(np.array(places, np.int64))
+    files = spark.read.parquet(path)
+    starts = shard_starts(files)
+    sizes = files.select("shard", "segment", "before", "n_tokens").collect()  # a row a segment
+    asked = {}
+    for r in sizes:
+        first = starts[r["shard"]] + r["before"]
+        own = wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, first + r["n_tokens"])]
+        if len(own):
+            asked[r["shard"], r["segment"]] = (first, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, segment, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if (shard, segment) in asked:
+                    first, own = asked[shard, segment]
+                    s = Segment(data.as_buffer())
+                    yield pa.RecordBatch.from_pydict({"place": own, "token": pa.array([s.token(int(i - first)) for i in own], pa.int64())})
+
+    if not asked:
+        return spark.createDataFrame([], "place long, token long")
+    known = F.col("shard").isin(sorted({k for k, _ in asked})) & F.col("segment").isin(sorted({k for _, k in asked}))
+    return files.where(known).select("shard", "segment", "payload").mapInArrow(run, "place long, token long")
+
+
+def read_tokens(spark, path: str) -> DataFrame:
+    """From the files at path, one row a document: doc_id, start, n_tokens, ids_crc32."""
+    files = spark.read.parquet(path)
+    starts = shard_starts(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, before, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 base = starts[shard] + before
-                s = Segment(data.as_buffer().to_pybytes())
+                s = Segment(data.as_buffer())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(s.doc_ids, pa.int64()),

@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import ascii_lower
+from .common import ascii_lower, column, whole
 
 TOKEN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
@@ -67,11 +68,13 @@ def _block(pages: DataFrame, rules: list[Rule], first: int) -> DataFrame:
     for i, r in enumerate(rules):
         key = min(r.tokens(), key=lambda t: (counts.get(t, 0), t), default=None)  # no whole token: tried on every URL
         filed[key].append((-len(r.text), first + i, r.pattern(), r.text, r.verdict))
-    filed = dict(filed)
-    schema = pages.select(F.struct("*").alias("row")).schema.simpleString()[len("struct<row:") : -1]
+    held = pages.sparkSession.sparkContext.broadcast(dict(filed))
+    rows = pages.select(whole(pages))
+    schema = StructType([StructField("row", rows.schema["row"].dataType), *StructType.fromDDL("best struct<order:int,at:int,rule:string,verdict:string>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled: dict[str, re.Pattern] = {}
+        filed = held.value
         for b in batches:
             rows = b.column(0)
             hosts, paths, were = (pc.struct_field(rows, n).to_pylist() for n in ("_host", "_path", "_best"))
@@ -91,7 +94,7 @@ def _block(pages: DataFrame, rules: list[Rule], first: int) -> DataFrame:
                 out.append(dict(zip(("order", "at", "rule", "verdict"), best, strict=True)) if best else None)
             yield pa.RecordBatch.from_pydict({"row": rows, "best": pa.array(out, pa.struct({"order": pa.int32(), "at": pa.int32(), "rule": pa.string(), "verdict": pa.string()}))})
 
-    made = pages.select(F.struct("*").alias("row")).mapInArrow(run, f"row {schema}, best struct<order:int,at:int,rule:string,verdict:string>")
+    made = rows.mapInArrow(run, schema)
     return made.select(F.struct("row.row", "row._host", "row._path", F.col("best").alias("_best")).alias("x")).select("x.*")
 
 
@@ -104,8 +107,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url",
     """
     known = parsed(rules)
     kind = "struct<order:int,at:int,rule:string,verdict:string>"
-    u = pages[url]
-    rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), host(u).alias("_host"), path(u).alias("_path"), F.lit(None).cast(kind).alias("_best"))
+    u = column(url)
+    rows = pages.select(whole(pages), host(u).alias("_host"), path(u).alias("_path"), F.lit(None).cast(kind).alias("_best"))
     for i in range(0, len(known), block):
         rows = _block(rows, known[i : i + block], i)
     return rows.select("row", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(otherwise)).alias("verdict"))

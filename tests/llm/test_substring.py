@@ -97,5 +97,25 @@ def test_blocks_of_a_very_long_text(monkeypatch):
     whole = substring.stretches(words_, of, 20, 6)
     monkeypatch.setattr(substring, "PLACE_BITS", 10)
     cut = substring.stretches(words_, of, 20, 6)
-    spread = lambda s: sorted((int(t), int(a) + k) for t, a, n in zip(*s[2:], strict=True) for k in range(n))
+    spread = lambda s: sorted((int(t), int(a) + k) for t, a, n in zip(*s[1:], strict=True) for k in range(n))
     assert spread(whole) == spread(cut) and len(spread(cut)) == 1000 - 19 + 2000 - 19
+
+
+def test_words_and_passages_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse sequences and their complements are alike to any polynomial hash modulo 2**64."""
+    morse = [bin(i).count("1") % 2 for i in range(4096)]
+    spell = lambda bits, a, b: [b if x else a for x in bits]
+    one, two = ("".join(spell([x ^ f for x in morse[:1024]], "a", "b")) for f in (0, 1))
+    before, after = [f"p{i}" for i in range(10)], [f"s{i}" for i in range(12)]
+    docs = [(1, " ".join([*before, one, *after])), (2, " ".join([*before, two, *after]))]
+    docs += [(k, " ".join(spell([x ^ k % 2 for x in morse], "left", "right"))) for k in (3, 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(substring.remove_repeats(df)) == brute(docs, 20)
+
+
+def test_long_texts_and_columns_of_any_name(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(120_000))
+    docs = [(1, long), (2, "start " + long[:300_000] + " end"), (3, "the same few words " * 3000)]
+    df = spark.createDataFrame([(*x, 1, 2, 3) for x in docs], "doc_id long, text string, `a.b` int, h int, start int")
+    assert got(substring.remove_repeats(df)) == brute(docs, 20)

@@ -99,10 +99,31 @@ def test_packing(spark):
 
 @pytest.mark.parametrize("choose", ["norm", "dot"])
 def test_every_capacity_holds(choose):
-    lengths = np.random.default_rng(1).integers(1, 100, 500)
-    bins, _ = packing.best_fit(lengths, 100, 3, 6000 + 4000, choose=choose)
-    for b in set(bins.tolist()):
-        own = lengths[bins == b]
-        assert own.sum() <= 100 and len(own) <= 3 and (own**2).sum() <= 10000
+    lengths = np.random.default_rng(1).integers(1, 60, 500)
+    plain, _ = packing.best_fit(lengths, 100, choose=choose)
+    cost = lambda bins: max((lengths[bins == b] ** 2).sum() for b in set(bins.tolist()))
+    assert cost(plain) > 4000
+    for documents, attention in ((3, 10000), (100, 4000), (3, 4000)):
+        bins, _ = packing.best_fit(lengths, 100, documents, attention, choose=choose)
+        held = [lengths[bins == b] for b in set(bins.tolist())]
+        assert all(x.sum() <= 100 and len(x) <= documents for x in held) and cost(bins) <= attention
     with pytest.raises(ValueError):
         packing.best_fit(np.array([101]), 100)
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([70]), 100, attention=4000)
+
+
+def test_tokens_at_any_place(spark):
+    docs = rows(spark, TEXTS)
+    path = tokenfile.scratch(spark, "tokens")
+    tokenfile.write_tokens(docs, path, segment_tokens=50)
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = [i for t in TEXTS for i in (*whole.encode(t or "", add_special_tokens=False).ids, 0)]
+    places = [0, 1, len(ids) - 1, *range(3, len(ids), 17)]
+    assert {r["place"]: r["token"] for r in tokenfile.tokens_at(spark, path, [-1, *places, len(ids)]).collect()} == {i: ids[i] for i in places}
+
+
+def test_packing_spreads_equal_rows(spark):
+    got = packing.pack_documents(spark.createDataFrame([(None, None)] * 3000, "doc_id long, text string"), shard_pieces=500).collect()
+    shards = {r["sequence_id"] >> 40 for r in got}
+    assert len(got) == 3000 and len(shards) == 6
