@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +62,13 @@ def expand_terms(tokens: Column) -> Column:
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
     """The character n-grams of the normalised text without its spaces, in order; none if it is shorter."""
-    text = F.replace(normalize(c), F.lit(" "), F.lit(""))
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    chars = F.split(F.replace(normalize(c), F.lit(" "), F.lit("")), "")  # a character is found by its place in an array, not from the text's start
+
+    def grams(x: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.concat(*[F.get(x, i + k) for k in range(n)]))
+        return F.when(F.size(x) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return F.coalesce(F.get(F.transform(F.array(chars), grams), 0), F.array().cast("array<string>"))  # the outer array binds chars: they are made once
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -87,16 +93,12 @@ def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(grams) -> int:
         if grams is None or len(grams) == 0:
             return 0
-        votes = [0] * 64
-        for g in grams:
-            h = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little")
-            for b in range(64):
-                votes[b] += 1 if h >> b & 1 else -1
-        bits = sum(1 << b for b in range(64) if votes[b] >= 0)
-        return bits - (1 << 64) if bits >> 63 else bits
+        found = np.frombuffer(b"".join([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams]), np.uint8)
+        votes = np.unpackbits(found.reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return int(np.packbits(votes * 2 >= len(grams), bitorder="little").view("<i8")[0])
 
     for s in batches:
-        yield s.map(one).astype("int64")
+        yield s.map(one)
 
 
 def simhash64(c: Column) -> Column:

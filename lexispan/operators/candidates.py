@@ -19,32 +19,74 @@ def rare_tokens(q_tokens: DataFrame, most: int = 28) -> DataFrame:
     return some.select("item_id", "token_id", "idf", F.explode(N.picks(F.col("at"))).alias("q_pos"))
 
 
-def sampled_postings(c_tokens: DataFrame, most: int = 2000) -> DataFrame:
-    """The corpus's places, every n-th of a token that has many (n: their number by most, at least 1)."""
+def sampled_postings(c_tokens: DataFrame, *own: str, most: int = 2000, bucket: int = 1024) -> DataFrame:
+    """The corpus's places, every n-th of a token that has many (n: their number by most, at least 1), in the order of own and pos.
+
+    Places are counted by buckets of the first of own (or of pos), so no task holds a frequent token's list.
+    """
+    order = [*own, "pos"]
+    cut = c_tokens.select("token_id", *order, F.floor(F.col(order[0]) / bucket).alias("_b"))
+    counts = cut.groupBy("token_id", "_b").count()
     w = Window.partitionBy("token_id")
-    k = F.row_number().over(w.orderBy("pos")) - 1
-    step = F.greatest(F.floor(F.count(F.lit(1)).over(w) / most), F.lit(1))
-    return c_tokens.select("token_id", "pos", k.alias("k"), step.alias("step")).where("k % step = 0").select("token_id", "pos")
+    before = F.coalesce(F.sum("count").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    step = F.greatest(F.floor(F.sum("count").over(w) / most), F.lit(1))
+    counts = counts.select("token_id", "_b", before.alias("before"), step.alias("step"))
+    k = F.row_number().over(Window.partitionBy("token_id", "_b").orderBy(*order)) - 1
+    placed = cut.withColumn("k", k).join(counts, ["token_id", "_b"])
+    return placed.where((F.col("before") + F.col("k")) % F.col("step") == 0).select("token_id", *order)
 
 
-def offset_votes(q_tokens: DataFrame, c_tokens: DataFrame) -> DataFrame:
-    """item_id, off, votes: the idf of rare query tokens summed by corpus place less query place."""
+def offset_votes(q_tokens: DataFrame, c_tokens: DataFrame, *own: str) -> DataFrame:
+    """item_id, own, off, votes: the idf of rare query tokens summed by corpus place less query place. own: columns of the corpus that places are in, such as its documents."""
     rare = rare_tokens(q_tokens)
-    found = rare.join(sampled_postings(c_tokens.join(rare.select("token_id").distinct(), "token_id", "left_semi")), "token_id")
-    return found.groupBy("item_id", (F.col("pos") - F.col("q_pos")).alias("off")).agg(F.round(F.sum("idf"), 6).alias("votes"))
-
-
-def peaks(votes: DataFrame, apart: int = 25, most: int = 12) -> DataFrame:
-    """item_id, peaks: offsets in the order of their votes (then of size, then of sign), each at least so far from all taken before."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), F.abs("off").alias("a"), F.col("off").alias("off"))))
-    empty = F.array().cast("array<bigint>")
+    found = rare.join(sampled_postings(c_tokens.join(rare.select("token_id").distinct(), "token_id", "left_semi"), *own), "token_id")
+    return found.groupBy("item_id", *own, (F.col("pos") - F.col("q_pos")).alias("off")).agg(F.round(F.sum("idf"), 6).alias("votes"))
+
+
+def peaks(votes: DataFrame, *own: str, apart: int = 25, most: int = 12) -> DataFrame:
+    """item_id, peaks: offsets in the order of their votes (then of size, then of sign, then of own), each at least so far from all taken before in the same own.
+
+    With own a peak is a struct of own and off. A peak bars at most 2 * apart - 1 offsets, so the best
+    most * (2 * apart - 1) votes hold all peaks.
+    """
+    enough = most * (2 * apart - 1)
+    first = [F.desc("votes"), F.abs("off"), "off", *own]
+    top = votes.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(*first))).where(F.col("k") <= enough)
+    fields = [*[F.col(c) for c in own], F.col("off").cast("bigint").alias("off")]
+    kept = top.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(F.col("k"), F.struct(*fields).alias("p")))).alias("o"))
+    kinds = dict(votes.dtypes)
+    empty = F.array().cast(f"array<struct<{', '.join(f'{c}:{kinds[c]}' for c in own)}{', ' if own else ''}off:bigint>>")
+
+    def near(a: Column, b: Column) -> Column:
+        out = F.abs(a["off"] - b["off"]) < apart
+        for c in own:
+            out = out & (a[c] == b[c])
+        return out
 
     def take(acc: Column, x: Column) -> Column:
-        ok = (F.size(acc) < most) & F.forall(acc, lambda a: F.abs(a - x["off"]) >= apart)
-        return F.when(ok, F.concat(acc, F.array(x["off"].cast("bigint")))).otherwise(acc)
-
-    top = votes.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("votes"), F.abs("off"), "off"))).where("k <= 4096")
-    return top.groupBy("item_id").agg(order.alias("o")).select("item_id", F.aggregate("o", empty, take).alias("peaks"))
+        ok = (F.size(acc) < most) & ~F.exists(acc, lambda a: near(a, x["p"]))
+        return F.when(ok, F.concat(acc, F.array(x["p"]))).otherwise(acc)
+
+    out = F.aggregate("o", empty, take)
+    return kept.select("item_id", (out if own else F.transform(out, lambda p: p["off"])).alias("peaks"))
+
+
+def near_passages(queries: DataFrame, passages: DataFrame, most: int = 80, block: int = 512) -> DataFrame:
+    """a, b, distance, place: of each query (a, simhash) the passages (b, simhash) in the fewest differing bits, ties by b.
+
+    Queries are a stated set: they are taken a block at a time, each block a constant that passages meet
+    without a shuffle, and a task passes on its best `most` a query.
+    """
+    order = Window.partitionBy("a").orderBy("distance", "b")
+    rows = queries.orderBy("a").collect()
+    out = None
+    for i in range(0, max(len(rows), 1), block):
+        some = F.array(*[F.struct(F.lit(r["a"]).cast("long").alias("a"), F.lit(r["simhash"]).cast("long").alias("s")) for r in rows[i : i + block]]) if rows else F.array().cast("array<struct<a:bigint,s:bigint>>")
+        met = passages.select("b", "simhash", F.explode(some).alias("q"))
+        met = met.select(F.col("q.a").alias("a"), "b", F.bit_count(F.col("q.s").bitwiseXOR(F.col("simhash"))).cast("int").alias("distance"))
+        best = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def windows(found: DataFrame, m: Column, length: int, margin: int = 450) -> DataFrame:

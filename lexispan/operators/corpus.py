@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from lexispan.functions import text as T
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text, doc_num (within its source), doc_global (over all, by source and id), doc_key.
+def numbered(docs: DataFrame, *more: str, bucket: int = 1 << 16) -> DataFrame:
+    """doc_id, source, doc_num (within its source), doc_global (over all, by source and id), doc_key, and the columns named in more.
 
-    Numbers within a source come from a window of that source; the sources' offsets from their counts, one
-    row a source, so no window holds the whole table.
+    Documents are numbered within stretches of ids of a source; the stretches' counts, a row each, give what comes
+    before them. So neither a large source nor the table stands in one task.
     """
-    num = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    counts = docs.groupBy("source").count()
+    cut = docs.select("doc_id", "source", *more, F.floor(F.col("doc_id") / bucket).alias("_b"))
+    counts = cut.groupBy("source", "_b").count()
+    own = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sources = docs.groupBy("source").count()  # a row a source
     before = F.coalesce(F.sum("count").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("source", before.alias("before"))
-    rows = docs.select("doc_id", "source", "text", num.alias("doc_num")).join(offsets, "source")
-    return rows.select("doc_id", "source", "text", "doc_num", (F.col("before") + F.col("doc_num")).alias("doc_global"), T.composite_key(F.col("source"), F.col("doc_num")).alias("doc_key"))
+    offsets = counts.select("source", "_b", own.alias("own")).join(sources.select("source", before.alias("before")), "source")
+    k = F.row_number().over(Window.partitionBy("source", "_b").orderBy("doc_id"))
+    rows = cut.withColumn("k", k).join(offsets, ["source", "_b"]).withColumn("doc_num", (F.col("own") + F.col("k")).cast("int"))
+    return rows.select("doc_id", "source", *more, "doc_num", (F.col("before") + F.col("doc_num")).alias("doc_global"), T.composite_key(F.col("source"), F.col("doc_num")).alias("doc_key"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -50,20 +53,15 @@ def inverted_index(docs: DataFrame) -> DataFrame:
     return tokens(docs).groupBy("token").agg(F.count(F.lit(1)).alias("n_postings"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, token, tf, doc_len."""
-    tf = tokens(docs).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select("doc_id", F.size(T.tokenize(F.col("text"))).alias("doc_len"))
-    return tf.join(lengths, "doc_id")
-
-
 def passages(docs: DataFrame, most: int = 5) -> DataFrame:
-    """Sliding passages of 1 to most documents in a source: source, start_num, width, n_chars, last_key."""
-    rows = numbered(docs).select("source", "doc_num", F.length("text").alias("n"), "doc_key")
-    out = None
-    for w in range(1, most + 1):
-        over = Window.partitionBy("source").orderBy("doc_num").rowsBetween(0, w - 1)
-        one = rows.select("source", F.col("doc_num").alias("start_num"), F.lit(w).alias("width"), F.sum("n").over(over).alias("n_chars"), F.count(F.lit(1)).over(over).alias("k"), F.last("doc_key").over(over).alias("last_key"))
-        one = one.where(F.col("k") == w).drop("k")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Sliding passages of 1 to most documents in a source: source, start_num, width, n_chars, last_key.
+
+    Each document goes to the starts of all passages that hold it, at most `most`, so no key is a whole source.
+    """
+    rows = numbered(docs.withColumn("_n", F.length("text")), "_n")
+    starts = F.sequence(F.greatest(F.col("doc_num") - (most - 1), F.lit(1)), F.col("doc_num"))
+    held = rows.select("source", F.struct("doc_num", "_n", "doc_key").alias("d"), F.explode(starts).alias("start_num"))
+    held = held.groupBy("source", "start_num").agg(F.sort_array(F.collect_list("d")).alias("d"))  # at most `most` rows
+    wide = held.select("source", "start_num", "d", F.explode(F.sequence(F.lit(1), F.size("d"))).alias("width"))
+    chars = F.aggregate(F.slice("d", F.lit(1), F.col("width")), F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(x["_n"], F.lit(0)))
+    return wide.select("source", "start_num", "width", chars.alias("n_chars"), F.get("d", F.col("width") - 1)["doc_key"].alias("last_key"))

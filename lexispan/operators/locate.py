@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +12,7 @@ from lexispan.functions import text as T
 
 from . import align as A
 from . import candidates as C
-from .corpus import vocabulary
-
-#: Bits of a place that a document's own places take; documents lie this far apart.
-APART = 22
-
+from .corpus import numbered, vocabulary
 
 def timed_tokens(segments: DataFrame, by: str) -> DataFrame:
     """by, seg, word_pos, raw, start_s, end_s, estimated. segments: by, seg, start_s, end_s, text, words (array of word, start_s, end_s).
@@ -39,42 +37,87 @@ def votes(docs: DataFrame, queries: DataFrame, key: str = "item_id") -> DataFram
     q = queries.select(F.col(key).alias("item_id"), F.posexplode(T.tokenize(F.col("text"))).alias("q_pos", "token"))
     v = vocabulary(docs).where(~F.col("is_stop"))
     q = q.join(v, "token").select("item_id", "q_pos", F.col("token").alias("token_id"), "idf")
-    c = docs.select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token")).select(F.col("token").alias("token_id"), (F.shiftleft("doc_id", APART) + F.col("pos")).alias("pos"))
-    found = C.offset_votes(q, c)
-    doc = F.shiftright(F.col("off") + (1 << (APART - 1)), APART)
-    return found.select(F.col("item_id").alias(key), doc.alias("doc_id"), (F.col("off") - F.shiftleft(doc, APART)).alias("off"), "votes")
+    c = docs.select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token")).select(F.col("token").alias("token_id"), "doc_id", "pos")
+    return C.offset_votes(q, c, "doc_id").select(F.col("item_id").alias(key), "doc_id", "off", "votes")
 
 
-def simhash_windows(near: DataFrame, ends: DataFrame, m: int, widen: int = 10, margin: int = 450) -> DataFrame:
-    """Windows around near passages (first, last: numbers of documents), widened by documents: ref_start, ref_end, off. ends: doc_global, tok_start, tok_end."""
-    total = ends.agg(F.max("doc_global").alias("docs"), F.max("tok_end").alias("tokens")).first()
-    low, high = F.greatest(F.col("first") - widen, F.lit(1)), F.least(F.col("last") + widen, F.lit(total["docs"]))
-    at = near.withColumns({"a": low, "b": high})
-    at = at.join(ends.select(F.col("doc_global").alias("a"), "tok_start"), "a").join(ends.select(F.col("doc_global").alias("b"), "tok_end"), "b")
-    centre = F.floor((F.col("tok_start") + F.col("tok_end")) / 2)
-    return at.select(*near.columns, F.greatest(centre - m // 2 - margin, F.lit(0)).alias("ref_start"), F.least(centre + m // 2 + margin, F.lit(total["tokens"])).alias("ref_end"), (centre - m // 2).alias("off"))
+def simhash_windows(near: DataFrame, sizes: DataFrame, margin: int = 450) -> DataFrame:
+    """Windows about the middle of near passages (doc_id, m: the query's tokens): ref_start, ref_end, off. sizes: doc_id, n (its tokens)."""
+    centre = F.floor(F.col("n") / 2)
+    off = centre - F.floor(F.col("m") / 2)
+    at = near.join(sizes, "doc_id").withColumns({"off": off, "ref_start": F.greatest(off - margin, F.lit(0)), "ref_end": F.least(off + F.col("m") + margin, F.col("n"))})
+    return at.drop("n")
 
 
-def locate(docs: DataFrame, queries: DataFrame, key: str = "item_id", kind: str = "long", keep: int = 4, costs: A.Costs = A.Costs()) -> DataFrame:
-    """Each query's best document and stretch: key, doc_id, cost, matches, diagonals, ref_start, ref_end, gap, confidence.
+def candidates(docs: DataFrame, queries: DataFrame, key: str = "item_id", keep: int = 10) -> DataFrame:
+    """key, doc_id, m, off, ref_start, ref_end, source, quick, observed, window: where each query could lie, as words.
 
-    The documents with most votes are aligned as wholes from their best offset. Cost per token decides, then
-    matches; the gap to the second best, the share of matches and the votes' coverage make the confidence.
+    Up to 12 peaks of the votes, and the middles of the 80 passages (documents) of nearest fingerprints; one for
+    each coarse place; quick is the share of the query's rarest tokens' idf that the window holds, and by it the best
+    of each source and then the best of all are kept.
+    """
+    words = queries.select(F.col(key).alias("item_id"), T.tokenize(F.col("text")).alias("observed")).withColumn("m", F.size("observed"))
+    sized = docs.select("doc_id", T.tokenize(F.col("text")).alias("words"))
+    sizes = sized.select("doc_id", F.size("words").alias("n"))
+    found = C.peaks(votes(docs, queries, key).withColumnRenamed(key, "item_id"), "doc_id").select("item_id", F.explode("peaks").alias("p")).select("item_id", "p.doc_id", "p.off")
+    anchors = found.join(words.select("item_id", "m"), "item_id").join(sizes, "doc_id")
+    anchors = C.windows(anchors, F.col("m"), F.col("n")).drop("n").withColumn("source", F.lit("anchor"))
+    prints = lambda df, k, of: T.simhash_md5(df, k, T.char_ngrams(F.col("text"))).select(F.col(k).alias(of), "simhash")
+    numbers = queries.select(key).distinct().withColumn("a", F.xxhash64(key))
+    near = C.near_passages(prints(queries.withColumn("a", F.xxhash64(key)), "a", "a"), prints(docs, "doc_id", "b"))
+    near = near.join(numbers, "a").select(F.col(key).alias("item_id"), F.col("b").alias("doc_id")).join(words.select("item_id", "m"), "item_id")
+    similar = simhash_windows(near, sizes).withColumn("source", F.lit("simhash"))
+    both = C.dedup_windows(anchors.unionByName(similar), "item_id", "doc_id")
+
+    v = vocabulary(docs).select("token", "idf")
+    top = queries.select(F.col(key).alias("item_id"), F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")).join(v, "token")
+    top = top.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("idf"), "token"))).where("k <= 64")
+    wanted = top.groupBy("item_id").agg(F.collect_list(F.struct("token", "idf")).alias("wanted"))
+    cut = both.join(sized, "doc_id").withColumn("window", F.slice("words", F.col("ref_start").cast("int") + 1, (F.col("ref_end") - F.col("ref_start")).cast("int"))).drop("words").join(wanted, "item_id", "left")
+    held = F.col("window")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x["idf"])
+    whole = total(F.col("wanted"))
+    quick = F.when(F.coalesce(whole, F.lit(0.0)) <= 0, F.lit(1.0)).otherwise(total(F.filter("wanted", lambda x: F.array_contains(held, x["token"]))) / whole)
+    cut = cut.withColumns({"quick": F.round(quick, 6), "width": F.col("ref_end") - F.col("ref_start"), "id": F.col("doc_id") * 1000003 + F.col("ref_start")}).drop("wanted")
+    return C.quota(cut, keep, "item_id").join(words.select("item_id", "observed"), "item_id").withColumnRenamed("item_id", key).drop("width", "id", "place")
+
+
+def locate(docs: DataFrame, queries: DataFrame, key: str = "item_id", kind: str = "long", keep: int = 10, costs: A.Costs = A.Costs(), confusions: Sequence[tuple[str, str, float]] = ()) -> DataFrame:
+    """Each query's best stretch: key, doc_id, cost, matches, diagonals, ref_start, ref_end, mapped, gap, confidence.
+
+    The candidates' windows are aligned, words that start alike at a lower cost. Cost per token decides, then
+    matches; the gap to the second best, the share of matches and the window's coverage make the confidence. A
+    query without a candidate has no row.
     """
-    v = votes(docs, queries, key)
-    place = F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(F.desc("votes"), F.abs("off"), "off"))
-    best = v.withColumn("k", place).where("k = 1")
-    total = F.sum("votes").over(Window.partitionBy(key))
-    best = best.withColumn("quick", F.col("votes") / total).withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), "doc_id"))).where(F.col("k") <= keep)
-    ids = lambda c: F.transform(T.tokenize(c), lambda t: F.xxhash64(t))
-    pairs = queries.select(key, ids(F.col("text")).alias("observed")).join(best.select(key, "doc_id", "off", "quick"), key)
-    pairs = pairs.join(docs.select("doc_id", ids(F.col("text")).alias("reference")), "doc_id").withColumn("base", F.lit(0).cast("long"))
-    found = A.align_pairs(pairs, f"{key} {kind}, doc_id long, quick double", costs)
-    per = found.withColumn("norm", F.col("cost") / F.greatest(F.col("diagonals") + F.col("deletions"), F.lit(1)))
-    order = Window.partitionBy(key).orderBy("norm", F.desc("matches"), "doc_id")
+    pairs = candidates(docs, queries, key, keep).withColumnRenamed("window", "reference").withColumns({"base": F.col("ref_start").cast("long"), "off": F.col("off") - F.col("ref_start")})
+    found = A.align_pairs(pairs.select(key, "doc_id", "quick", "observed", "reference", "base", "off"), f"{key} {kind}, doc_id long, quick double", costs, confusions=confusions)
+    per = found.where("diagonals > 0").withColumn("norm", F.col("cost") / F.greatest(F.col("diagonals") + F.col("deletions"), F.lit(1)))
+    order = Window.partitionBy(key).orderBy("norm", F.desc("matches"), "doc_id", "ref_start")
     ranked = per.withColumns({"k": F.row_number().over(order), "second": F.lead("norm").over(order)}).where("k = 1")
     gap = F.greatest(F.coalesce("second", F.col("norm") + 1) - F.col("norm"), F.lit(0.0))
-    return ranked.withColumn("gap", gap).select(key, "doc_id", "cost", "matches", "diagonals", "ref_start", "ref_end", F.round("gap", 6).alias("gap"), F.round(N.confidence(F.col("matches"), F.col("diagonals"), F.col("gap"), F.col("quick")), 6).alias("confidence"))
+    return ranked.withColumn("gap", gap).select(key, "doc_id", F.round("cost", 6).alias("cost"), "matches", "diagonals", "ref_start", "ref_end", "mapped", F.round("gap", 6).alias("gap"), F.round(N.confidence(F.col("matches"), F.col("diagonals"), F.col("gap"), F.col("quick")), 6).alias("confidence"))
+
+
+def locate_segments(segments: DataFrame, docs: DataFrame, by: str, least: int = 2) -> DataFrame:
+    """Each segment of each transcript located by itself: by, seg, start_s, end_s, place, group_id, confidence, as spans are found by.
+
+    place is the document's number, group_id the document's source's. A segment of fewer words than least, or
+    without a candidate, has nulls. segments: by, seg, start_s, end_s, text.
+    """
+    own = segments.where(F.size(T.tokenize(F.col("text"))) >= least).select(F.to_json(F.struct(by, "seg")).alias("segment_key"), "text")
+    found = locate(docs, own, "segment_key", "string").select("segment_key", "doc_id", "confidence")
+    numbers = numbered(docs).select("doc_id", F.col("doc_global").cast("long").alias("place"), "source")
+    groups = numbers.select("source").distinct().withColumn("group_id", F.dense_rank().over(Window.orderBy("source")).cast("long"))  # a row a source
+    placed = found.join(numbers, "doc_id").join(groups, "source").select("segment_key", "place", "group_id", "confidence")
+    keyed = segments.select(by, "seg", "start_s", "end_s", F.to_json(F.struct(by, "seg")).alias("segment_key"))
+    return keyed.join(placed, "segment_key", "left").drop("segment_key")
+
+
+def token_times(found: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """key, doc_id, place, start_s, end_s: the located tokens' places with the times they were heard at, those of a place once. tokens: key, k (from 0), start_s, end_s."""
+    flat = found.select(key, "doc_id", F.posexplode("mapped").alias("k", "place")).where("place is not null")
+    timed = flat.join(tokens, [key, "k"])
+    return timed.groupBy(key, "doc_id", "place").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
 
 
 def refine(segments: DataFrame, spans: DataFrame, docs: DataFrame, by: str) -> DataFrame:

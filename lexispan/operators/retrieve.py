@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from lexispan.functions import numeric as N
 from lexispan.functions import text as T
 
-from .corpus import postings
-
 K1, B = 1.2, 0.75
 
 
@@ -22,11 +20,23 @@ def query_terms(queries: DataFrame, most: int = 24, seen: int = 200) -> DataFram
     return first.select("item_id", "term", "n", F.row_number().over(order).alias("place")).where(F.col("place") <= most)
 
 
+def term_rows(docs: DataFrame, queries: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """doc_id, token, doc_len: the documents' tokens that are terms of a query, each as often as it occurs. Texts are tokenised once.
+
+    A query has at most `most` terms, so the terms of up to a million in all go to every task; more are joined.
+    """
+    wanted = terms.select(F.col("term").alias("token")).distinct()
+    if queries.count() * most <= 1_000_000:
+        wanted = F.broadcast(wanted)
+    words = docs.select("doc_id", T.tokenize(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("token"))
+    return words.join(wanted, "token", "left_semi")
+
+
 def matches(docs: DataFrame, queries: DataFrame, every: bool = False, most: int = 24) -> DataFrame:
     """item_id, n_docs: documents with any of the query's terms, or with every one."""
     terms = query_terms(queries, most)
     of = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("k"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
+    words = term_rows(docs, queries, terms, most).select("doc_id", F.col("token").alias("term")).distinct()
     hit = words.join(terms.select("item_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("m"))
     if every:
         hit = hit.join(of, "item_id").where("m = k")
@@ -36,9 +46,8 @@ def matches(docs: DataFrame, queries: DataFrame, every: bool = False, most: int
 def bm25(docs: DataFrame, queries: DataFrame, most: int = 24) -> DataFrame:
     """item_id, doc_id, score, over the documents with any term. The idf is that of Okapi, at least 1e-6."""
     terms = query_terms(queries, most).select("item_id", "term")
-    post = postings(docs)
     n_docs, avg_len = docs.select(F.size(T.tokenize(F.col("text"))).alias("n")).agg(F.count(F.lit(1)), F.avg("n")).first()
-    found = post.join(terms.select(F.col("term").alias("token")).distinct(), "token", "left_semi")
+    found = term_rows(docs, queries, terms, most).groupBy("token", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
     df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / (avg_len or 1.0)))

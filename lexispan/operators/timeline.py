@@ -78,16 +78,19 @@ def interpolate(tokens: DataFrame, start: str, end: str, k: str, n: str) -> Data
 
 
 def into_slots(points: DataFrame, ends: DataFrame, by: str, at: str, slot: str, end: str, width: float) -> DataFrame:
-    """Each point's slot, half-open by the slots' ends: [previous end, end). Points past the last end are left out.
+    """Each point's slot, half-open by the slots' ends: [previous end, end); the first has no start. Points past the last end are left out.
 
-    Points and slots meet by buckets of width, so no point meets all slots of its group.
+    Points and slots meet by buckets of width, so no point meets all slots of its group; a point before the first
+    end goes to that end's bucket.
     """
     w = Window.partitionBy(by).orderBy(end, slot)
     slots = ends.withColumn("_from", F.coalesce(F.lag(end).over(w), F.lit(float("-inf")))).where(F.col("_from") < F.col(end))
-    low = F.greatest(F.col("_from"), F.lit(0.0))
-    cut = slots.withColumn("_b", F.explode(F.sequence(F.floor(F.least(low, F.col(end)) / width), F.floor(F.col(end) / width))))
+    low = F.when(F.col("_from") == float("-inf"), F.col(end)).otherwise(F.col("_from"))
+    cut = slots.withColumn("_b", F.explode(F.sequence(F.floor(low / width), F.floor(F.col(end) / width))))
     cut = cut.select(F.col(by), F.col(slot), F.col(end), "_from", "_b")
-    return points.withColumn("_b", F.floor(F.greatest(F.col(at), F.lit(0.0)) / width)).join(cut, [by, "_b"]).where((F.col(at) >= F.col("_from")) & (F.col(at) < F.col(end))).drop("_b", "_from")
+    first = ends.groupBy(by).agg(F.min(end).alias("_first"))
+    placed = points.join(first, by).withColumn("_b", F.floor(F.greatest(F.col(at), F.col("_first")) / width)).drop("_first")
+    return placed.join(cut, [by, "_b"]).where((F.col(at) >= F.col("_from")) & (F.col(at) < F.col(end))).drop("_b", "_from")
 
 
 def speech_intervals(silences: DataFrame, by: str, start: str, end: str, duration: Column, pad: float = 0.15, least: float = 0.25) -> DataFrame:

@@ -8,6 +8,8 @@ from lexispan.operators import candidates as C
 from lexispan.operators import corpus as K
 from lexispan.operators import locate as P
 from lexispan.operators import retrieve as R
+from lexispan.operators import spans as S
+from lexispan.operators import timeline as L
 
 from .registry import query, table
 from .text_queries import EXPAND, TOKENS
@@ -140,17 +142,18 @@ def votes(spark, sf_dir):
     return P.votes(docs(spark, sf_dir), items(spark, sf_dir))
 
 
-@query(f"{VOTES} SELECT item_id, doc_id, off, votes FROM votes WHERE votes >= 10")
+@query(f"{VOTES} SELECT item_id, doc_id, off, votes FROM votes")
 def anchor_histogram(spark, sf_dir):
-    return votes(spark, sf_dir).where("votes >= 10")
+    return votes(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS MATERIALIZED ({VOTES} SELECT item_id, doc_id, off, row_number() OVER (PARTITION BY item_id ORDER BY votes DESC, abs(off), off, doc_id) AS k FROM votes QUALIFY k <= 588),
+r AS (SELECT item_id, doc_id, off, k, 1 AS place FROM x
+UNION ALL SELECT item_id, doc_id, off, k, place + 1 FROM (SELECT *, first_value(doc_id) OVER w AS d, first_value(off) OVER w AS o FROM r WINDOW w AS (PARTITION BY item_id ORDER BY k)) WHERE place < 12 AND NOT (doc_id = d AND abs(off - o) < 25))
+SELECT item_id, CAST(place AS INTEGER) AS place, arg_min(doc_id, k) AS doc_id, arg_min(off, k) AS off FROM r GROUP BY item_id, place""")
 def nms_peaks(spark, sf_dir):
-    v = votes(spark, sf_dir)
-    best = v.groupBy("item_id", "doc_id").agg(F.sum("votes").alias("s")).withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("s"), "doc_id"))).where("k <= 5")
-    p = v.join(best.select("item_id", "doc_id"), ["item_id", "doc_id"]).select(F.struct("item_id", "doc_id").alias("item_id"), "off", "votes")
-    return C.peaks(p).select("item_id.item_id", "item_id.doc_id", F.array_join("peaks", ",").alias("peaks"))
+    p = C.peaks(votes(spark, sf_dir), "doc_id").select("item_id", F.posexplode("peaks").alias("i", "p"))
+    return p.select("item_id", (F.col("i") + 1).alias("place"), "p.doc_id", "p.off")
 
 
 CAND = """WITH a AS (SELECT l_orderkey AS item_id, (l_partkey * 37) % 5000 AS ref_start, (l_partkey * 37) % 5000 + l_linenumber * 100 - 100 AS ref_end, l_suppkey * 11 - 500 AS off, CASE WHEN l_linenumber % 2 = 0 THEN 'anchor' ELSE 'simhash' END AS source, round(1 - l_discount * 5, 6) AS quick, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS id FROM lineitem WHERE l_linenumber * 100 - 100 > 0)"""
@@ -196,11 +199,11 @@ WANT = f"SELECT item_id, token, idf FROM (SELECT item_id, token, max(idf) AS idf
 
 
 @query(f"""WITH w AS MATERIALIZED ({WANT}), c AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(t) AS token FROM ({DT})))
-SELECT item_id, doc_id, coverage FROM (SELECT item_id, doc_id, round(CASE WHEN total > 0 THEN part / total ELSE 1 END, 6) AS coverage FROM (SELECT item_id, doc_id, sum(idf) AS part FROM c JOIN w USING (token) GROUP BY item_id, doc_id) JOIN (SELECT item_id, sum(idf) AS total FROM w GROUP BY item_id) USING (item_id)) WHERE coverage >= 0.2""")
+SELECT item_id, doc_id, coverage FROM (SELECT item_id, doc_id, round(CASE WHEN total > 0 THEN part / total ELSE 1 END, 6) AS coverage FROM (SELECT item_id, doc_id, sum(idf) AS part FROM c JOIN w USING (token) GROUP BY item_id, doc_id) JOIN (SELECT item_id, sum(idf) AS total FROM w GROUP BY item_id) USING (item_id))""")
 def coverage_score(spark, sf_dir):
     q = query_tokens(spark, sf_dir).where(F.col("idf").isNotNull()).groupBy("item_id", "token").agg(F.max("idf").alias("idf"))
     wanted = q.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("idf"), "token"))).where("k <= 64").drop("k")
-    return C.coverage(wanted, corpus_tokens(spark, sf_dir).select("doc_id", "token")).where("coverage >= 0.2")
+    return C.coverage(wanted, corpus_tokens(spark, sf_dir).select("doc_id", "token"))
 
 
 @query(f"SELECT item_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(*) FILTER (token_id IS NULL) AS BIGINT) AS unknown, CAST(count(*) FILTER (is_stop) AS BIGINT) AS stops, CAST(count(*) FILTER (token_id IS NOT NULL AND NOT is_stop) AS BIGINT) AS effective FROM ({QT}) q LEFT JOIN ({VOCAB}) v USING (token) GROUP BY item_id")
@@ -210,17 +213,39 @@ def token_diagnostics(spark, sf_dir):
     return q.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(~known).alias("unknown"), F.count_if("is_stop").alias("stops"), F.count_if(known & ~F.col("is_stop")).alias("effective"))
 
 
-@query(f"SELECT item_id, doc_id FROM (SELECT DISTINCT item_id, token FROM ({QT}) WHERE length(token) >= 10) JOIN (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(t) AS token FROM ({DT}))) USING (token) GROUP BY item_id, doc_id")
+@query(f"SELECT item_id, doc_id FROM (SELECT DISTINCT item_id, token FROM ({QT}) ) JOIN (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(t) AS token FROM ({DT}))) USING (token) GROUP BY item_id, doc_id")
 def exists_semi(spark, sf_dir):
-    """Documents that contain a long token of an item."""
-    q = items(spark, sf_dir).select("item_id", F.explode(T.tokenize(F.col("text"))).alias("token")).where(F.length("token") >= 10).distinct()
+    """Documents that contain a token of an item."""
+    q = items(spark, sf_dir).select("item_id", F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
     return corpus_tokens(spark, sf_dir).select("doc_id", "token").distinct().join(q, "token").select("item_id", "doc_id").distinct()
 
 
 @query()
 def align_benchmark(spark, sf_dir):
-    """Each benchmark item located in the corpus: candidates by votes, alignment, confidence."""
-    return P.locate(docs(spark, sf_dir), items(spark, sf_dir))
+    """Each benchmark item located in the corpus: candidates by votes and fingerprints, alignment, confidence."""
+    return P.locate(docs(spark, sf_dir), items(spark, sf_dir)).drop("mapped")
+
+
+@query()
+def candidate_windows(spark, sf_dir):
+    """Where each benchmark item could lie: the windows that are aligned."""
+    return P.candidates(docs(spark, sf_dir), items(spark, sf_dir)).select("item_id", "doc_id", "off", "ref_start", "ref_end", "source", "quick")
+
+
+@query()
+def segment_spans(spark, sf_dir):
+    """Ten transcripts whose segments are benchmark items: each segment located by itself, then the spans between jumps."""
+    x = items(spark, sf_dir).select((F.col("item_id") % 10).alias("conv_id"), F.col("item_id").alias("seg"), (F.col("item_id") * 10.0).alias("start_s"), (F.col("item_id") * 10.0 + 8).alias("end_s"), "text")
+    return S.find_spans(P.locate_segments(x, docs(spark, sf_dir), "conv_id"), "conv_id")
+
+
+@query()
+def located_times(spark, sf_dir):
+    """The located tokens of each benchmark item with the times they would be heard at, half a second a token, then smoothed."""
+    q = items(spark, sf_dir)
+    heard = q.select("item_id", F.posexplode(T.tokenize(F.col("text"))).alias("k", "w")).select("item_id", "k", (F.col("k") * 0.5).alias("start_s"), (F.col("k") * 0.5 + 0.5).alias("end_s"))
+    found = P.token_times(P.locate(docs(spark, sf_dir), q), heard, "item_id")
+    return L.smooth(found, "start_s", "end_s", ["item_id"], ["place"]).select("item_id", "doc_id", "place", "start_s", "end_s")
 
 
 @query(r"""WITH x AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS w FROM conversations)

@@ -38,7 +38,11 @@ def clean_token(spark, sf_dir):
     return w.select("word", T.clean_token(F.col("word")).alias("cleaned"), "n")
 
 
-@query()
+SHORT = "replace({n}, ' ', '')".format(n=NORM.format(c=f"(CASE WHEN {CLEAN.replace('(w,', '(trim(w),')} = '' THEN trim(w) ELSE {CLEAN.replace('(w,', '(trim(w),')} END)"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT w, {SHORT} AS x FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations UNION ALL SELECT text AS w FROM (VALUES {ARABIC_SQL}) v(id, text)))
+SELECT w AS word, trim(array_to_string(list_transform(list_filter(range(1, length(x) + 1), lambda i: NOT (i > 1 AND x[i] = x[i - 1] AND (i > 2 AND x[i] = x[i - 2] OR x[i] = x[i + 1]))), lambda i: x[i]), '')) AS token FROM s""")
 def normalize_token(spark, sf_dir):
     words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", " ")).alias("word")).union(arabic(spark).select("text")).distinct()
     return words.select("word", T.normalize_token(F.col("word")).alias("token"))
@@ -81,37 +85,36 @@ def ngram_jaccard_pairs(spark, sf_dir):
     return both.select("a", "b", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("jaccard"))
 
 
-SIM = f"""SELECT item_id, CASE WHEN len(h) = 0 THEN 0 ELSE CAST(list_sum(list_transform(range(60), lambda b: CASE WHEN 2 * len(list_filter(h, lambda x: (x >> CAST(b AS INTEGER)) & 1 = 1)) >= len(h) THEN 1::BIGINT << CAST(b AS INTEGER) ELSE 0 END)) AS BIGINT) END AS simhash
-FROM (SELECT item_id, list_transform({GRAMS.format(g=FLAT)}, lambda g: ('0x' || substr(md5(g), 1, 15))::BIGINT) AS h FROM benchmark)"""
+def sim_sql(table: str, key: str) -> str:
+    """key, simhash of a table's texts: a sum a bit over their grams."""
+    bits = ", ".join(f"sum((h >> {b}) & 1) AS b{b}" for b in range(60))
+    word = " + ".join(f"CASE WHEN 2 * b{b} >= n THEN {1 << b} ELSE 0 END" for b in range(60))
+    return f"""SELECT {key}, CASE WHEN n = 0 THEN 0 ELSE CAST({word} AS BIGINT) END AS simhash FROM (SELECT {key}, count(h) AS n, {bits} FROM (SELECT {key}, ('0x' || substr(md5(g), 1, 15))::BIGINT AS h
+FROM (SELECT {key}, substr(x, i, 3) AS g FROM (SELECT {key}, x, unnest(CASE WHEN length(x) >= 3 THEN range(1, length(x) - 1) ELSE [NULL] END) AS i FROM (SELECT {key}, {FLAT} AS x FROM {table})))) GROUP BY {key})"""
 
 
-def _simhash(spark, sf_dir):
-    return T.simhash_md5(table(spark, sf_dir, "benchmark"), "item_id", T.char_ngrams(F.col("text")))
+def _simhash(spark, sf_dir, name, key):
+    return T.simhash_md5(table(spark, sf_dir, name), key, T.char_ngrams(F.col("text")))
 
 
-@query(SIM)
+@query(sim_sql("documents", "doc_id"))
 def simhash_md5(spark, sf_dir):
-    return _simhash(spark, sf_dir)
+    return _simhash(spark, sf_dir, "documents", "doc_id")
 
 
 @query()
 def simhash_blake2b(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.simhash64(F.col("text")).alias("simhash"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.simhash64(F.col("text")).alias("simhash"))
 
 
-@query(f"""WITH s AS MATERIALIZED ({SIM}) SELECT a, b, CAST(d AS INTEGER) AS distance, CAST(k AS INTEGER) AS place FROM (SELECT a.item_id AS a, b.item_id AS b, bit_count(xor(a.simhash, b.simhash)) AS d,
-row_number() OVER (PARTITION BY a.item_id ORDER BY bit_count(xor(a.simhash, b.simhash)), b.item_id) AS k FROM s a JOIN s b ON a.item_id <> b.item_id) WHERE k <= 5""")
+@query(f"""WITH d AS MATERIALIZED ({sim_sql("documents", "doc_id")}), q AS MATERIALIZED ({sim_sql("benchmark", "item_id")}) SELECT a, b, CAST(d AS INTEGER) AS distance, CAST(k AS INTEGER) AS place FROM (SELECT item_id AS a, doc_id AS b, bit_count(xor(q.simhash, d.simhash)) AS d,
+row_number() OVER (PARTITION BY item_id ORDER BY bit_count(xor(q.simhash, d.simhash)), doc_id) AS k FROM q, d) WHERE k <= 80""")
 def simhash_knn(spark, sf_dir):
-    """The five nearest other items of each item of the query set; each item's queries stand in one array."""
-    from pyspark.sql import Window
+    """The 80 documents of nearest fingerprints of each benchmark item."""
+    from lexispan.operators.candidates import near_passages
 
-    s = _simhash(spark, sf_dir)
-    queries = s.select(F.collect_list(F.struct(F.col("item_id").alias("a"), F.col("simhash").alias("qa")))).first()[0]
-    at = F.array(*[F.struct(F.lit(q["a"]).cast("long").alias("a"), F.lit(q["qa"]).cast("long").alias("qa")) for q in queries])
-    pairs = s.select(F.col("item_id").alias("b"), "simhash", F.explode(at).alias("q")).where(F.col("q.a") != F.col("b"))
-    d = pairs.select(F.col("q.a").alias("a"), "b", T.hamming(F.col("q.qa"), F.col("simhash")).cast("int").alias("distance"))
-    k = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
-    return d.withColumn("place", k).where("place <= 5")
+    q = _simhash(spark, sf_dir, "benchmark", "item_id").select(F.col("item_id").alias("a"), "simhash")
+    return near_passages(q, _simhash(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("b"), "simhash"))
 
 
 @query("""SELECT event_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS ts, h || ':' || m || ':' || s || '.' || f AS raw, h * 3600.0 + m * 60 + s + f / 1000.0 AS parsed
@@ -135,11 +138,11 @@ def head_tail_text(spark, sf_dir):
 
 
 @query(r"""SELECT page_id, CASE WHEN regexp_extract(url, '([^/\\]*)$', 1) IN ('', '.', '..') THEN 'upload.bin' ELSE regexp_extract(url, '([^/\\]*)$', 1) END AS name, sha256(html) AS digest,
-regexp_replace(regexp_replace(url, '^https://', 'wss://'), '^http://', 'ws://') AS ws, '"' || replace(html[1:100], '"', '""') || '"' AS quoted FROM pages""")
+regexp_replace(regexp_replace(url, '^https://', 'wss://'), '^http://', 'ws://') AS ws, md5('"' || replace(html, '"', '""') || '"') AS quoted_md5 FROM pages""")
 def page_names(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     u = F.col("url")
-    return p.select("page_id", T.safe_basename(u).alias("name"), T.content_hash(F.col("html")).alias("digest"), T.websocket_url(u).alias("ws"), T.fts_quote(F.substring("html", 1, 100)).alias("quoted"))
+    return p.select("page_id", T.safe_basename(u).alias("name"), T.content_hash(F.col("html")).alias("digest"), T.websocket_url(u).alias("ws"), F.md5(T.fts_quote(F.col("html"))).alias("quoted_md5"))
 
 
 @query("""SELECT page_id, host, (host = 'example.org' OR host LIKE '%.example.org') OR host = 'tionsh.example.net' AS allowed FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)""")

@@ -251,18 +251,35 @@ def commit_machine(spark, sf_dir):
     return X.batch(observations(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT user_id, s / 1000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY s) AS k FROM {EV}),
+r AS (SELECT user_id, s, k, TRUE AS accepted, 0 AS retry_after, s AS a, CAST(NULL AS DOUBLE) AS b FROM o WHERE k = 1
+UNION ALL SELECT user_id, s, k, NOT f, CASE WHEN f THEN greatest(60 - CAST(trunc(s - b) AS INTEGER), 1) ELSE 0 END, CASE WHEN f THEN a ELSE s END, CASE WHEN f THEN b ELSE a END
+FROM (SELECT o.user_id, o.s, o.k, r.a, r.b, r.b IS NOT NULL AND r.b > o.s - 60 AS f FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1))
+SELECT user_id, s, accepted, CAST(retry_after AS INTEGER) AS retry_after FROM r""")
 def rate_limiter(spark, sf_dir):
     return X.rate_limited(events(spark, sf_dir).select("user_id", (F.col("s") / 1000).alias("s")), "user_id", "s", 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE g AS (SELECT user_id AS file, list(round(s / 20000, 3)) AS cuts, max(s / 20000) AS duration FROM {EV} GROUP BY user_id),
+p AS (SELECT file, 0 AS chunk, CAST(0 AS DOUBLE) AS here, CAST(NULL AS DOUBLE) AS before FROM g WHERE duration > 0
+UNION ALL SELECT file, chunk + 1, CASE WHEN hard THEN e - 3 ELSE e END, CASE WHEN hard THEN e END FROM (SELECT *, here + 15 < duration AND q IS NULL AS hard, CASE WHEN here + 15 >= duration THEN duration ELSE coalesce(q, here + 15) END AS e
+FROM (SELECT p.*, duration, list_max(list_filter(cuts, lambda c: c > here + 1 AND c <= here + 15)) AS q FROM p JOIN g USING (file))) WHERE e <> duration AND CASE WHEN hard THEN e - 3 ELSE e END < duration - 0.05)
+SELECT file, CAST(chunk AS INTEGER) AS chunk, here AS start_s, e AS end_s, CASE WHEN before IS NULL THEN here ELSE before - 1.5 END AS keep_from_s, CASE WHEN hard THEN e - 1.5 ELSE e END AS keep_to_s
+FROM (SELECT *, here + 15 < duration AND q IS NULL AS hard, CASE WHEN here + 15 >= duration THEN duration ELSE coalesce(q, here + 15) END AS e FROM (SELECT p.*, duration, list_max(list_filter(cuts, lambda c: c > here + 1 AND c <= here + 15)) AS q FROM p JOIN g USING (file)))""")
 def chunk_plan(spark, sf_dir):
     g = events(spark, sf_dir).groupBy(F.col("user_id").alias("file")).agg(F.sort_array(F.collect_list(F.round(F.col("s") / 20000, 3))).alias("cuts"), F.max(F.col("s") / 20000).alias("duration"))
     return X.chunk_plans(g)
 
 
-@query()
+def near_copies(words, apart):
+    """Words (user_id, word, s, e) in time order, each that repeats the last kept one within so many seconds widening it."""
+    return f"""WITH RECURSIVE w AS ({words}), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e, word) AS k FROM w),
+r AS (SELECT user_id, word, s, e, k FROM o WHERE k = 1
+UNION ALL SELECT o.user_id, o.word, CASE WHEN o.word = r.word AND abs(o.s - r.s) < {apart} THEN r.s ELSE o.s END, o.e, o.k FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+SELECT user_id, word, s, max(e) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY k) AS part FROM (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY user_id ORDER BY k) AND word = lag(word) OVER (PARTITION BY user_id ORDER BY k) THEN 0 ELSE 1 END AS n FROM r)) GROUP BY user_id, part, word, s"""
+
+
+@query(near_copies(f"SELECT user_id, event_type AS word, s, e FROM {EV}", 30000))
 def near_dup_words(spark, sf_dir):
     from lexispan.streaming.machine import drop_near_copies
 
@@ -273,7 +290,8 @@ def near_dup_words(spark, sf_dir):
     return events(spark, sf_dir).select("user_id", "event_type", "s", "e").groupBy("user_id").applyInPandas(fold, "user_id long, word string, s double, e double")
 
 
-@query()
+@query(near_copies(f"""SELECT user_id, word, s, e FROM (SELECT *, k > n // 2 AS late, min(CASE WHEN k > n // 2 THEN s END) OVER (PARTITION BY user_id) AS a, max(CASE WHEN k = n THEN e END) OVER (PARTITION BY user_id) AS b, min(s) OVER (PARTITION BY user_id) + 3600 AS oldest
+FROM (SELECT user_id, event_type AS word, s, s + 1.0 AS e, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM {EV})) WHERE late OR e >= oldest AND NOT (e >= a - 0.25 AND s <= b + 0.25)""", 0.03))
 def rolling_transcript(spark, sf_dir):
     """Each user's words after re-reading the last stretch: what the rolling transcript then holds."""
     from lexispan.streaming.machine import upsert
@@ -296,7 +314,11 @@ def span_jumps(spark, sf_dir):
     return S.find_spans(x, "conv_id")
 
 
-@query()
+@query(f"""WITH x AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN CAST(floor(value / 20) AS BIGINT) END AS doc, event_id % 9 = 0 AS estimated, event_id % 5 > 0 AS known, event_id % 2 = 0 AS in_prev, event_id % 3 = 0 AS in_next FROM {EV}),
+y AS (SELECT *, last_value(doc IGNORE NULLS) OVER {W} ROWS UNBOUNDED PRECEDING) AS p, first_value(doc IGNORE NULLS) OVER {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n, lead(s) OVER {W}) AS following FROM x)
+SELECT event_id, user_id, CASE WHEN doc IS NOT NULL THEN doc WHEN estimated THEN CASE WHEN p = n THEN p END
+WHEN p IS NOT NULL AND n IS NOT NULL THEN CASE WHEN p = n THEN p WHEN in_prev AND NOT in_next THEN p WHEN in_next AND NOT in_prev THEN n WHEN following - e > 0.75 THEN n ELSE p END
+WHEN p IS NOT NULL THEN CASE WHEN known AND in_prev THEN p END WHEN n IS NOT NULL THEN CASE WHEN known AND in_next THEN n END END AS assigned FROM y""")
 def token_assignment(spark, sf_dir):
     e = events(spark, sf_dir)
     x = e.select("event_id", "user_id", F.when(F.col("event_id") % 4 == 0, F.floor(F.col("value") / 20)).alias("doc"), F.col("s").alias("start"), F.col("e").alias("end"), (F.col("event_id") % 9 == 0).alias("estimated"), (F.col("event_id") % 5 > 0).alias("known"), (F.col("event_id") % 2 == 0).alias("in_prev"), (F.col("event_id") % 3 == 0).alias("in_next"))

@@ -1,7 +1,9 @@
 """Goldens, brute force and oracles for the engine without its training-data operators."""
 
+import functools
 import itertools
 import json
+import os
 import random
 
 import duckdb
@@ -109,6 +111,39 @@ def test_alignment_goldens_and_brute_force():
             assert got["deletions"] + got["diagonals"] == len(o)
 
 
+def test_alignment_prices_of_words_and_confusions():
+    """Back-off by 3-grams and given pairs against a recursion over words."""
+    words = ["", "kitab", "kitabi", "kataba", "rahman", "rahmani", "nas"]
+    spell = words.__getitem__
+
+    def price(r, o):
+        if r and o and (r, o) == (6, 3):
+            return 0.125
+        return A.backoff(spell(r), spell(o), 1.0) if r and o else 1.0
+
+    rng = random.Random(2)
+    assert A.backoff("kitab", "kitabi", 1.0) < 1.0 == A.backoff("kitab", "nas", 1.0)
+    for _ in range(200):
+        o, f = ([rng.randrange(len(words)) for _ in range(rng.randrange(1, 6))] for _ in range(2))
+
+        @functools.cache
+        def best(i, j):
+            """Least cost, then most matches, of o[:i] against what of f ends at j."""
+            if i == 0:
+                return (0.0, 0)
+            ways = [(best(i - 1, j)[0] + 1.0, best(i - 1, j)[1])]
+            if j:
+                c, k = best(i - 1, j - 1)
+                same = o[i - 1] and o[i - 1] == f[j - 1]
+                ways.append((c + (0.0 if same else price(f[j - 1], o[i - 1])), k - bool(same)))
+                ways.append((best(i, j - 1)[0] + 0.75, best(i, j - 1)[1]))
+            return min((round(c, 6), k) for c, k in ways)
+
+        got = A.align(np.array(o), np.array(f), 0, 12, A.Costs(1.0, 0.75, 1.0, ((6, 3, 0.125),)), spell)
+        want = min(best(len(o), j) for j in range(len(f) + 1))
+        assert (round(got["cost"], 5), -got["matches"]) == (round(want[0], 5), want[1]), (o, f)
+
+
 def test_smoothing_golden_and_loop(spark):
     def loop(rows):
         out, top = [], None
@@ -157,6 +192,32 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("answers").collect()), key=str) == want
 
 
+def test_sessions_end_and_start_anew(spark, tmp_path):
+    """One file a micro-batch: a falls silent and its timer fires, b has its hour of audio, c sends what can't be read."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    row = lambda session, seq, at, at_s=0.0, confidence=0.9: {"session": session, "seq": seq, "obs_key": f"k{seq}", "place": seq, "confidence": confidence, "diagonals": 20, "ratio": 0.9, "group_id": "g", "at_s": at_s, "at": f"2024-01-01T00:{at // 60:02d}:{at % 60:02d}Z"}
+    files = [
+        [row("a", 1, 0), row("a", 2, 5), row("b", 1, 5, 3599.0)],
+        [row("b", 2, 100, 3600.0), row("c", 1, 100) | {"diagonals": None}, row("c", 2, 101)],
+        [row("b", 3, 102, 1.0)],
+        [row("a", 7, 103)],
+    ]
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(files):
+        path = tmp_path / "in" / f"{k}.json"
+        path.write_text("\n".join(map(json.dumps, rows)))
+        os.utime(path, (1000 + k, 1000 + k))
+    source = spark.readStream.schema(X.IN + ", at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withWatermark("at", "1 second")
+    q = X.stream(source, "at").writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("ended").collect()
+    assert {(r["session"], r["seq"], r["ended"]) for r in got if r["ended"]} == {("b", 2, "max_audio"), ("a", None, "no_audio")}
+    by = {(r["session"], r["seq"]): r for r in got}
+    assert by["c", 1]["action"] == "error" and by["c", 1]["error"] and by["c", 2]["action"] == "commit"
+    assert (by["a", 7]["action"], by["a", 7]["skipped"], by["b", 3]["action"]) == ("commit", 0, "commit")
+
+
 def test_spans():
     def fold(rows):
         f = S.Fold()
@@ -238,6 +299,27 @@ def test_locate_and_refine(spark):
     assert refined == {"5:0": (2, 0, 22), "5:1": (9, 40, 60)}
 
 
+def test_spliced_segments_make_spans(spark):
+    """Segments of one document, then of a far one: each is located by itself and the jump splits them."""
+    rng = random.Random(6)
+    docs = [(i, f"s{i // 4}", " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))) for i in range(16)]
+    cut = lambda i, a, b: " ".join(docs[i][2].split()[a:b])
+    corpus = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    parts = [cut(1, 0, 12), cut(1, 12, 24), cut(1, 24, 40), cut(14, 5, 20), cut(14, 20, 35), "x", cut(14, 35, 60)]
+    segments = spark.createDataFrame([(9, k, k * 10.0, k * 10.0 + 8, t) for k, t in enumerate(parts)], "t long, seg int, start_s double, end_s double, text string")
+    found = locate.locate_segments(segments, corpus, "t")
+    places = {r["seg"]: (r["place"], r["group_id"]) for r in found.collect()}
+    assert places == {0: (2, 1), 1: (2, 1), 2: (2, 1), 3: (15, 4), 4: (15, 4), 5: (None, None), 6: (15, 4)}
+    spans = sorted((r["first_segment"], r["last_segment"]) for r in S.find_spans(found, "t").collect())
+    assert spans == [(0, 2), (3, 6)]
+
+
+def test_points_before_zero(spark):
+    points = spark.createDataFrame([(1, -5.0), (1, -1.0), (1, 2.0), (1, 3.0)], "g int, at double")
+    ends = spark.createDataFrame([(1, 7, -2.0), (1, 8, 3.0)], "g int, slot int, stop double")
+    assert sorted((r["at"], r["slot"]) for r in L.into_slots(points, ends, "g", "at", "slot", "stop", 2.0).collect()) == [(-5.0, 7), (-1.0, 8), (2.0, 8)]
+
+
 def test_audio_bundle_and_settings(spark, tmp_path):
     x = np.array([0.0, 1.0, 0.0, -1.0])
     assert audio.resampled(x, 8000).tolist() == [0, 0.5, 1, 0.5, 0, -0.5, -1, -1]
