@@ -1,8 +1,11 @@
 """Language identification by averaged embeddings of hashed subwords and a linear softmax.
 
 A text is the average of the vectors of its words' character n-grams (two to four code points, word ends
-counted as one), each found by a hash. Vectors and softmax are trained by stochastic gradient descent. A
-temperature and the least probability to accept are fitted on a part of the sample that training doesn't see.
+counted as one), each found by a hash. Vectors and softmax are trained by stochastic gradient descent.
+Rejection is calibrated on a part of the sample that training doesn't see: by a temperature and the least
+probability to accept, and by how usual a text's n-grams are in the language predicted, as a softmax is sure
+of languages it has never seen. The latter is the mean logarithm of their shares in the training texts, less
+that of a usual text, in units that allow a short text to stray farther.
 """
 
 from __future__ import annotations
@@ -74,23 +77,31 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+#: A text's n-grams beyond so many don't make it less free to stray from the usual.
+STEADY = 200
+
+
 @dataclass
 class Model:
-    """weights: what each bucket adds to each language's score (its vector times the softmax layer)."""
+    """weights: what each bucket adds to each language's score (its vector times the softmax layer). shares: the logarithm of each bucket's share in a language's texts; middle: their mean in a usual text."""
 
     languages: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    shares: np.ndarray
+    middle: np.ndarray
     temperature: float = 1.0
     accept: float = 0.0
+    usual: float = -np.inf
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "seen"}
 
-    def scores(self, texts: list[str], most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the languages' scores, and its number of n-grams. No n-gram crosses white space, so each distinct word is looked up once."""
+    def sums(self, texts: list[str], most: int = 500_000) -> np.ndarray:
+        """For each text the sums of its n-grams' weights, of the logarithms of their shares, and their number. No n-gram crosses white space, so each distinct word is looked up once."""
+        each = np.concatenate([self.weights, self.shares], axis=1)
         if "seen" not in self.__dict__ or len(self.seen[0]) > most:
-            self.seen = [Numbers(), np.zeros((1 << 12, len(self.languages) + 1), np.float32)]
+            self.seen = [Numbers(), np.zeros((1 << 12, each.shape[1] + 1), np.float32)]
         number, table = self.seen
         words = [t.lower().split() for t in texts]
         which = np.fromiter((number[w] for own in words for w in own), np.int64, sum(map(len, words)))
@@ -98,24 +109,33 @@ class Model:
             while len(number) > len(table):
                 table = self.seen[1] = np.concatenate([table, np.zeros_like(table)])
             bucket, of = grams(number.new)
-            at = len(number) - len(number.new) + of
-            size = len(number)
-            first = len(number) - len(number.new)
-            for k in range(len(self.languages)):
-                table[first:size, k] = np.bincount(at - first, self.weights[bucket, k], size - first)
-            table[first:size, -1] = np.bincount(at - first, minlength=size - first)
+            size, first = len(number), len(number) - len(number.new)
+            for k in range(each.shape[1]):
+                table[first:size, k] = np.bincount(of, each[bucket, k], size - first)
+            table[first:size, -1] = np.bincount(of, minlength=size - first)
             number.new = []
         ends = np.concatenate([[0], np.cumsum([len(own) for own in words])])
         total = np.zeros((len(texts), table.shape[1]), np.float64)
         some = np.flatnonzero(np.diff(ends))
         if len(some):
             total[some] = np.add.reduceat(table[which].astype(np.float64), ends[some], axis=0)
-        return total[:, :-1] / np.maximum(total[:, -1:], 1) + self.bias, total[:, -1]
-
-    def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the languages' calibrated probabilities, and whether it has a letter at all."""
-        z, n = self.scores(texts)
-        return softmax(z / self.temperature), n > 0
+        return total
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the languages' scores, how usual it is in each, and its number of n-grams."""
+        total, n = self.sums(texts), len(self.languages)
+        number = total[:, -1:]
+        mean = total[:, :-1] / np.maximum(number, 1)
+        return mean[:, :n] + self.bias, (mean[:, n:] - self.middle) * np.sqrt(np.minimum(number, STEADY) / STEADY), total[:, -1]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its best language's number, its calibrated probability, and whether it is rejected. Without n-grams: 0, 0 and rejected."""
+        z, usual, n = self.scores(texts)
+        p = softmax(z / self.temperature)
+        best = p.argmax(axis=1)
+        at = np.arange(len(best))
+        score = np.where(n > 0, p[at, best], 0.0)
+        return np.where(n > 0, best, 0), np.clip(score, 0, 1), (n == 0) | (score < self.accept) | (usual[at, best] < self.usual)
 
 
 def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 4, batch: int = 32, rate: float = 40.0, rejected: float = 0.0005, seed: int = 0) -> Model:
@@ -126,7 +146,7 @@ def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 4, b
     """
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
+        return Model([], *(np.zeros(x, np.float32) for x in ((BUCKETS, 0), 0, (BUCKETS, 0), 0)))
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
     order = rng.permutation(len(texts))
@@ -151,7 +171,10 @@ def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 4, b
             bias -= now / 40 * d.sum(axis=0)
             vectors -= now * (x.T @ down)
             step += 1
-    model = Model(names, vectors @ layer, bias)
+    counts = np.full((BUCKETS, len(names)), 0.5)
+    for i in fit:
+        np.add.at(counts[:, y[i]], grams([texts[i]])[0], 1.0)
+    model = Model(names, vectors @ layer, bias, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.zeros(len(names), np.float32))
     if len(held):
         some = [(x, y[i]) for i in held for x in [texts[i], *list(rng.permutation(texts[i].split("\n")))[:8]]]
         calibrate(model, [x for x, _ in some], np.array([k for _, k in some]), rejected)
@@ -159,13 +182,19 @@ def train(texts: list[str], langs: list[str], size: int = 16, epochs: int = 4, b
 
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray, rejected: float) -> None:
-    """Sets the temperature of the least log loss, then the least probability to accept."""
-    x, _ = model.scores(texts)
-    loss = lambda t: -np.log(softmax(x / t)[np.arange(len(y)), y] + 1e-12).mean()
+    """Sets the temperature of the least log loss, then the least probability and the least usualness to accept."""
+    z, usual, n = model.scores(texts)
+    loss = lambda t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
     model.temperature = float(min(np.geomspace(0.05, 8, 60), key=loss))
-    best = softmax(x / model.temperature)
-    right = np.sort(best.max(axis=1)[best.argmax(axis=1) == y])
-    model.accept = float(right[int(len(right) * rejected)]) if len(right) else 0.0
+    best = softmax(z / model.temperature)
+    ok = (best.argmax(axis=1) == y) & (n > 0)
+    for k in range(len(model.languages)):
+        own = usual[ok & (y == k) & (n >= STEADY), k]
+        model.middle[k] = np.median(own) if len(own) else -1e9  # too few long texts: nothing is unusual
+    usual = model.scores(texts)[1]
+    least = lambda v: float(np.sort(v)[int(len(v) * rejected)]) if len(v) else 0.0
+    model.accept = least(best.max(axis=1)[ok])
+    model.usual = least(usual[np.arange(len(y)), y][ok])
 
 
 def eligible(held_out: int, folds: int) -> Column:
@@ -193,7 +222,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     score: the predicted language's calibrated probability. A text that is null or has no letter, or any
     if no language was learnt, is "und" with score 0 and rejected; a text of less probability than the
-    model accepts is rejected but keeps its prediction. An empty table gives no rows.
+    model accepts, or whose n-grams are too unusual in its language, is rejected but keeps its prediction. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
 
@@ -201,14 +230,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = held.value
         if not m.languages:
             return {"lang_pred": [UNDETERMINED] * len(texts), "score": [0.0] * len(texts), "rejected": [True] * len(texts)}
-        p, some = m.probabilities(texts)
-        best = p.argmax(axis=1)
-        score = np.where(some, p[np.arange(len(best)), best], 0.0)
-        return {
-            "lang_pred": [m.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)],
-            "score": np.clip(score, 0, 1).tolist(),
-            "rejected": (~some | (score < m.accept)).tolist(),
-        }
+        best, score, rejected = m.judged(texts)
+        return {"lang_pred": [m.languages[b] if s > 0 else UNDETERMINED for b, s in zip(best, score, strict=True)], "score": score.tolist(), "rejected": rejected.tolist()}
 
     return by_rows(docs, fn, "lang_pred string, score double, rejected boolean")
 

@@ -70,7 +70,7 @@ def test_simhash_nulls_repeats_and_empty_tables(spark):
     assert got == [(-1, 5), (3, 3), (4, 3), (5, 5), (5, 5)]
     kept = simhash.one_of_each(rows)
     assert kept.columns == rows.columns
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 5]
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3]  # a row without an id comes first, and its copies go
 
 
 def test_links_in_a_dense_group():
@@ -120,3 +120,53 @@ def test_document_fingerprints_of_few_rows(spark):
     assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"abcd efab").hexdigest()
     got = cws.document_fingerprints(spark.createDataFrame([(None, "aaaa"), (None, "bbbb"), (2, "cccc"), (2, "cccc")], kind)).collect()
     assert sorted(r["edited_sha256"] for r in got) == sorted(hashlib.sha256(x.encode()).hexdigest() for x in ("aaab", "bbbc", "cccc", "ccca"))
+
+
+def test_codes_against_a_scalar_computation():
+    """Each draw's sample from the definition, a word at a time, with numpy's scalars."""
+    import math
+
+    sampler = cws.Sampler(8)
+    text = "one two two three three three FOUR four five " * 3
+    bag = Counter(text.lower().split())
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def gamma(i):  # the quantile of gamma(2, 1) at (i + 0.5) / 65536
+        low, high = 0.0, 40.0
+        for _ in range(60):
+            x = (low + high) / 2
+            low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < (i + 0.5) / 65536 else (low, x)
+        return x
+
+    want = []
+    for k in range(8):
+        best = None
+        for w, n in bag.items():
+            h = xxhash.xxh64_intdigest(w.encode())
+            u = mix(h ^ mix((k + 1) * 0x9E3779B97F4A7C15 & mask))
+            r, beta = np.float32(gamma(u & 0xFFFF)), np.float32((u >> 16 & 0xFFFF) / 65536)
+            t = np.floor(np.float32(math.log(n)) / r + beta)
+            score = np.float32(math.log(gamma(u >> 32 & 0xFFFF))) - r * (t - beta + np.float32(1))
+            code = mix((h + int(t) * 0x9E3779B97F4A7C15) & mask) >> 32
+            best = min(x for x in (best, (score, code)) if x)
+        want.append(best[1] & 0xFFFF)
+    assert sampler.fingerprints([text])[0].tolist() == want
+
+
+def test_texts_of_very_many_words():
+    """Draws that don't fit in one table are reduced bit by bit to the same codes."""
+    sampler, r = cws.Sampler(16), random.Random(1)
+    some = [" ".join(f"w{r.randrange(5000)}" for _ in range(n)) for n in (3000, 0, 10, 4000)]
+    assert (sampler.fingerprints(some) == sampler.fingerprints(some, most=100)).all()
+
+
+def test_shards_and_next_documents_of_rows_without_ids(spark):
+    """Nulls and repeats are numbered, so each row has one next row, over any number of shards."""
+    rows = [(None, f"n{i} text") for i in range(500)] + [(i, f"d{i} text") for i in range(700)] + [(3, "d3 text")]
+    got = cws.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((d is not None, d or 0, len(t)) for d, t in rows)

@@ -113,6 +113,55 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fitted(empty)).collect()} == {"und"}
 
 
+def test_scores_are_those_of_whole_texts():
+    """Remembered words against the n-grams of each text at once."""
+    langs = [rng.choice(sorted(SYLLABLES)) for _ in range(120)]
+    texts = [gibberish(x, rng.randrange(1, 300)) for x in langs]
+    m = langid.train(texts, langs)
+    odd = [*texts[:40], "", "12 3", "é", "Straße  und\u2003mehr\n\tZeilen", "a", "xyzzy " * 50]
+    for _ in range(2):
+        z, usual, n = m.scores(odd)
+        for text, a, b, k in zip(odd, z, usual, n, strict=True):
+            bucket = langid.grams([text])[0]
+            assert k == len(bucket)
+            if len(bucket):
+                assert np.allclose(a, m.weights[bucket].mean(axis=0) + m.bias, atol=1e-4)
+                assert np.allclose(b, (m.shares[bucket].mean(axis=0) - m.middle) * min(1, len(bucket) / langid.STEADY) ** 0.5, atol=1e-3)
+
+
+def test_unknown_languages_are_rejected():
+    """Each language of the table left out of the training once; calibrated on the others."""
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() if r["lang"] and r["text"]]
+    for out in sorted({r["lang"] for r in rows}):
+        known = [r for r in rows if r["lang"] != out]
+        fit, held = known[::2], known[1::2]
+        m = langid.train([r["text"] for r in fit], [r["lang"] for r in fit])
+        best, _, rejected = m.judged([r["text"] for r in held])
+        assert np.mean([m.languages[b] == r["lang"] for b, r in zip(best, held, strict=True)]) > 0.97 and rejected.mean() < 0.02
+        assert 1 - m.judged([r["text"] for r in rows if r["lang"] == out])[2].mean() < 0.1
+
+
+def test_long_chains_stay_apart():
+    """A text of very many lines is a group of its own, so that no array grows with lines times documents; the marginals are those of each alone."""
+    lines = [np.random.default_rng(i).random((n, quality.OWN)).astype(np.float32) for i, n in enumerate((3, 40_000, 2, 90_000, 7, 5))]
+    groups = quality.alike(lines, 256, 1 << 17)
+    assert all(len(g) == 1 or len(g) * max(len(lines[i]) for i in g) <= 1 << 17 for g in groups) and sorted(i for g in groups for i in g) == list(range(6))
+    crf = quality.Field(weights=np.random.default_rng(1).normal(size=(2, 3 * quality.OWN + 1)))
+    together = crf.good(lines[:1] + lines[2:3] + lines[4:])
+    assert all(np.allclose(a, crf.good([d])[0]) for a, d in zip(together, lines[:1] + lines[2:3] + lines[4:], strict=True))
+
+
+def test_a_benchmark_in_blocks_scans_alike(spark):
+    items = [(i, " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee"], k=rng.randrange(1, 25)))) for i in range(30)]
+    docs = [(i, " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff"], k=rng.randrange(0, 120))), 1) for i in range(60)] + [(99, None, 1)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string, `a.b` int"), spark.createDataFrame(items, "item_id long, text string")
+    shown = lambda df: sorted((r["row"]["doc_id"], r["row"]["a.b"], r["n_words"], [tuple(h) for h in r["hits"]], r["items"]) for r in df.collect())
+    one = shown(decontam.decontaminate(d, b))
+    assert one == shown(decontam.decontaminate(d, b, limit_bytes=3000)) and any(x[4] for x in one)
+
+
 def brute_marginals(crf, x):
     import itertools
 
