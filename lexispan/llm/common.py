@@ -65,17 +65,18 @@ def _release_at_exit(spark: SparkSession) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd", clean: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd", clean: bool = False, dictionary: bool = True) -> DataFrame:
     """df, written to the shared folder and read from there: the lineage ends and a lost executor loses nothing.
 
-    clean: the shuffle files that the writing needed go as soon as the table is there.
+    clean: the shuffle files that the writing needed go as soon as the table is there. dictionary: whether repeated
+    values are worth looking for.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     was = spark.conf.get(CLEANUP, "false")
     if clean:
         spark.conf.set(CLEANUP, "true")
     try:
-        df.select("*").write.option("compression", compression).parquet(path)
+        df.select("*").write.option("compression", compression).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,6 +25,8 @@ SPACES = " \n\t\x0b\x0c\r"
 BUCKETS = 1 << 16
 #: Lines of more words have a second signature.
 LONG = 64
+#: So many pairs of lines (16 MB of ids at the most) are broadcast.
+FEW = 1_000_000
 #: What a number has of a word's hash, below its level.
 HASH_BITS = 55
 
@@ -57,7 +59,7 @@ def shifted(name: str, c: Column, by: Column) -> Column:
 
 def levels(rows: DataFrame) -> Column:
     """The buckets' levels of rarity, a constant array; counted over all words of rows."""
-    found = rows.select(F.explode(words(F.replace("row.text", F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
+    found = rows.select(F.explode(words(F.replace("row.text", F.lit("\n"), F.lit(" ")))).alias("w"))  # empty strings too, which no line has as a word
     counts = found.select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).groupBy("b").count()
     spelt = ["0"] * BUCKETS
     for r in counts.select("b", F.floor(F.log2("count") * 4).alias("level")).collect():  # at most BUCKETS rows
@@ -73,9 +75,10 @@ def keys(hashes: Column, ranks: Column) -> Column:
 
 def signature(k: Column, n: Column) -> list[Column]:
     """sig: 64 bits, each the parity of the number of words that fall on it; sig2: the same of one half of the words, for long lines."""
-    bit = lambda x: F.shiftright(x, 20).bitwiseAND(63).cast("int")
-    of = lambda one: F.aggregate(k, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x), bit(x))))
-    return [of(lambda x: F.lit(1).cast("bigint")).alias("sig"), F.when(n > LONG, of(lambda x: F.shiftright(x, 40).bitwiseAND(1))).alias("sig2")]
+    bits = [-(1 << 63) if i == 63 else 1 << i for i in range(64)]
+    constant = lambda of: F.split(F.lit(",".join(map(str, of))), ",").cast("array<bigint>")
+    parities = lambda bit: F.aggregate(k, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.get(bit, x.bitwiseAND(F.lit(127)))))
+    return [parities(constant(bits + bits)).alias("sig"), F.when(n > LONG, parities(constant([0] * 64 + bits))).alias("sig2")]
 
 
 def up(a: Column, num: int, den: int) -> Column:
@@ -157,6 +160,8 @@ def verified(once: DataFrame, pairs: DataFrame, like: Threshold) -> DataFrame:
     """id of the lines x of pairs (x, y: ids) that are like their y, by their words."""
     pairs = written(pairs.distinct(), "pairs", clean=True)
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    if pairs.count() <= FEW:  # few enough to go to every task; more are joined
+        ids = F.broadcast(ids)
     spelt = once.select("id", "line").join(ids, "id", "left_semi").select("id", F.array_remove(F.array_distinct(words(F.col("line"))), "").alias("w"))
     spelt = written(spelt, "spelt", clean=True)
     both = pairs.join(spelt.toDF("x", "xw"), "x").join(spelt.toDF("y", "yw"), "y")
@@ -166,10 +171,10 @@ def verified(once: DataFrame, pairs: DataFrame, like: Threshold) -> DataFrame:
 def like_earlier(once: DataFrame, like: Threshold, hot: int) -> DataFrame:
     """id of the lines of once where an earlier, different line is like it."""
     flat = postings(once)
-    groups = flat.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    crowded = written(groups.where(F.col("n") > hot).select("t", "least"), "crowded", clean=True)
+    crowded = written(flat.groupBy("t").count().where(F.col("count") > hot).select("t"), "crowded", clean=True)
     heavy = written(flat.join(crowded, "t"), "heavy", clean=True)
-    removed = written(verified(once, met(heavy, heavy.where("id = least"), like), like), "removed", clean=True)
+    heads = heavy.join(heavy.groupBy("t").agg(F.min("id").alias("id")), ["t", "id"])
+    removed = written(verified(once, met(heavy, heads, like), like), "removed", clean=True)
 
     # in a crowded group only those that stay so far ask, so a group of near copies isn't squared; other groups are at
     # most `hot` rows
@@ -213,7 +218,7 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, hot: int = 512) ->
     """
     rows, stride = placed(docs)
     like = Threshold(num, den)
-    once = written(distinct_lines(rows, stride, like), "lines", clean=True)
+    once = written(distinct_lines(rows, stride, like), "lines", clean=True, dictionary=False)
     gone = like_earlier(once, like, hot)
     kept = once.select("id").join(gone, "id", "left_anti")
     kept = kept.groupBy(F.expr(f"id div {stride}").alias("_n"))
