@@ -90,8 +90,9 @@ def simhash_md5(rows: DataFrame, key: str, grams: Column, bits: int = 60) -> Dat
 
 @F.pandas_udf(LongType())
 def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def one(grams) -> int:
-        if grams is None or len(grams) == 0:
+    def one(text: str | None) -> int:
+        grams = [text[i : i + 3] for i in range(len(text) - 2)] if text else []
+        if not grams:
             return 0
         found = np.frombuffer(b"".join([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams]), np.uint8)
         votes = np.unpackbits(found.reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -103,7 +104,7 @@ def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def simhash64(c: Column) -> Column:
     """64 bits by the vote of the text's character 3-grams' BLAKE2b, ties set; 0 below three characters."""
-    return _simhash(char_ngrams(c, 3))
+    return _simhash(F.replace(normalize(c), F.lit(" "), F.lit("")))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -30,27 +30,38 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("p", "token")).select("doc_id", (F.col("p") + 1).alias("word_pos"), "token")
 
 
-def vocabulary(docs: DataFrame, stop_ratio: float = 0.35) -> DataFrame:
-    """token, token_id (from 1 in the order of tokens), df, idf, is_stop.
+def before_each(rows: DataFrame, of: str, name: str) -> DataFrame:
+    """rows (one a token) with a column name: the sum of column `of` over the tokens before it, in their order.
 
-    Ids come from windows of tokens that start alike plus the offsets of those starts, so no task holds the
+    Sums come from windows of tokens that start alike plus the totals of those starts, so no task holds the
     whole vocabulary.
     """
+    rows = rows.withColumn("head", F.substring("token", 1, 3))
+    heads = rows.groupBy("head").agg(F.sum(of).alias("total"))
+    start = F.coalesce(F.sum("total").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum(of).over(Window.partitionBy("head").orderBy("token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = heads.select("head", start.alias("start"))
+    return rows.withColumn("within", within).join(offsets, "head").withColumn(name, F.col("start") + F.col("within")).drop("head", "start", "within")
+
+
+def vocabulary(docs: DataFrame, stop_ratio: float = 0.35) -> DataFrame:
+    """token, token_id (from 1 in the order of tokens), df, idf, is_stop."""
     n = docs.count()
     df = docs.select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    df = df.withColumn("head", F.substring("token", 1, 3))
-    heads = df.groupBy("head").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = heads.select("head", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("head").orderBy("token"))
+    placed = before_each(df.withColumn("one", F.lit(1)), "one", "before")
     idf = F.log((n + 1) / (F.col("df") + 1)) + 1
-    placed = df.withColumn("k", within).join(offsets, "head")
-    return placed.select("token", (F.col("before") + F.col("k")).cast("int").alias("token_id"), "df", idf.alias("idf"), (F.col("df") / n > stop_ratio).alias("is_stop"))
+    return placed.select("token", (F.col("before") + 1).cast("int").alias("token_id"), "df", idf.alias("idf"), (F.col("df") / n > stop_ratio).alias("is_stop"))
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
-    """token, n_postings, first_doc, last_doc; see postings for the list itself."""
-    return tokens(docs).groupBy("token").agg(F.count(F.lit(1)).alias("n_postings"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    """token, n_postings, first_doc, last_doc, offset: where its places start among all tokens' places; see postings for the places."""
+    counts = tokens(docs).groupBy("token").agg(F.count(F.lit(1)).alias("n_postings"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return before_each(counts, "n_postings", "offset")
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """token, doc_id, positions: the token's places in the document (from 1), in order. A token's list is its rows by doc_id."""
+    return tokens(docs).groupBy("token", "doc_id").agg(F.sort_array(F.collect_list("word_pos")).alias("positions"))
 
 
 def passages(docs: DataFrame, most: int = 5) -> DataFrame:

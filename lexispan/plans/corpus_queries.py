@@ -50,11 +50,16 @@ def vocab_idf(spark, sf_dir):
     return K.vocabulary(docs(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
-@query(f"SELECT token, CAST(count(*) AS BIGINT) AS n_postings, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, unnest(t) AS token FROM ({DT})) GROUP BY token")
+@query(f"SELECT *, CAST(coalesce(sum(n_postings) OVER (ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT token, CAST(count(*) AS BIGINT) AS n_postings, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, unnest(t) AS token FROM ({DT})) GROUP BY token)")
 def inverted_index_offsets(spark, sf_dir):
     return K.inverted_index(docs(spark, sf_dir))
 
 
+@query(f"SELECT token, doc_id, array_to_string(list(p ORDER BY p), ',') AS positions FROM (SELECT doc_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS p FROM ({DT})) GROUP BY token, doc_id")
+def posting_positions(spark, sf_dir):
+    return K.postings(docs(spark, sf_dir)).withColumn("positions", F.array_join("positions", ","))
+
+
 @query(f"""WITH n AS ({NUM}), s AS (SELECT source, doc_num, length(text) AS n, source || ':' || doc_num AS k FROM n)
 {' UNION ALL '.join(f"SELECT source, CAST(doc_num AS INTEGER) AS start_num, {w} AS width, CAST(c AS BIGINT) AS n_chars, k AS last_key FROM (SELECT source, doc_num, sum(n) OVER v AS c, count(*) OVER v AS m, last_value(k) OVER v AS k FROM s WINDOW v AS (PARTITION BY source ORDER BY doc_num ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)) WHERE m = {w}" for w in range(1, 6))}""")
 def passages_1_5(spark, sf_dir):

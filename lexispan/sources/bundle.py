@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .npy import NpySource
-from .readers import latest_version, vocabulary_json
+from .readers import latest_version, listed, vocabulary_json
 
 
 @dataclass
@@ -20,18 +19,17 @@ class Bundle:
     arrays: dict[str, DataFrame]
 
 
-def load_bundle(spark: SparkSession, path: str) -> Bundle:
-    """The latest version under path: meta.json and vocab.json are required; each .npy file is a table of pos and value."""
-    root = os.path.realpath(latest_version(path))
-    for name in ("meta.json", "vocab.json"):
-        if not os.path.exists(os.path.join(root, name)):
-            raise FileNotFoundError(f"{name} is missing in {root}")
-    with open(os.path.join(root, "meta.json")) as f:
-        meta = json.load(f)
+def load_bundle(spark: SparkSession, path: str, required: Sequence[str] = ()) -> Bundle:
+    """The latest version under path: meta.json, vocab.json and the required arrays must be there; each .npy file is a table of pos and value."""
+    root = latest_version(spark, path)
+    names = listed(spark, root)
+    missing = [n for n in ("meta.json", "vocab.json", *(f"{r}.npy" for r in required)) if n not in names]
+    if missing:
+        raise FileNotFoundError(f"{', '.join(missing)} missing in {root}")
+    meta = json.loads(spark.read.text(f"{root}/meta.json", wholetext=True).first()[0])
     spark.dataSource.register(NpySource)
-    names = sorted(n for n in os.listdir(root) if n.endswith(".npy"))
-    arrays = {n.removesuffix(".npy"): spark.read.format("npy").option("path", os.path.join(root, n)).load() for n in names}
-    return Bundle(meta, vocabulary_json(spark, os.path.join(root, "vocab.json")), arrays)
+    arrays = {n.removesuffix(".npy"): spark.read.format("npy").option("path", f"{root}/{n}").load() for n in names if n.endswith(".npy")}
+    return Bundle(meta, vocabulary_json(spark, f"{root}/vocab.json"), arrays)
 
 
 def ranges_of(starts: DataFrame, ends: DataFrame) -> DataFrame:

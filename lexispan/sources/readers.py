@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import base64
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,22 @@ def lookup(docs: DataFrame, group_id: int, doc_num: int) -> DataFrame:
     return docs.where((F.col("group_id") == group_id) & (F.col("doc_num") == doc_num)).limit(1)
 
 
-def latest_version(path: str) -> str:
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any store that Spark reads; none if there is no such folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def latest_version(spark: SparkSession, path: str) -> str:
     """path if it holds meta.json, else the last of its folders that does."""
-    if os.path.exists(os.path.join(path, "meta.json")):
+    names = listed(spark, path)
+    if "meta.json" in names:
         return path
-    found = sorted(d for d in os.listdir(path) if os.path.exists(os.path.join(path, d, "meta.json")))
+    found = [d for d in names if "meta.json" in listed(spark, f"{path}/{d}")]
     if not found:
         raise FileNotFoundError(f"no version under {path}")
-    return os.path.join(path, found[-1])
+    return f"{path}/{found[-1]}"
 
 
 def vocabulary_json(spark: SparkSession, path: str) -> DataFrame:
@@ -63,6 +73,13 @@ def confusions_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return defaults, pairs.select("ref_id", F.get("r", F.lit(0)).cast("int").alias("obs_id"), F.get("r", F.lit(1)).alias("cost"))
 
 
+def confusion_words(pairs: DataFrame, vocabulary: DataFrame) -> list[tuple[str, str, float]]:
+    """(reference word, observed word, cost) of confusions_json's pairs, as alignment takes them; as many as the file has. vocabulary: token, token_id."""
+    name = lambda k, w: vocabulary.select(F.col("token_id").alias(k), F.col("token").alias(w))
+    both = pairs.join(name("ref_id", "r"), "ref_id").join(name("obs_id", "o"), "obs_id")
+    return [(x["r"], x["o"], x["cost"]) for x in both.select("r", "o", "cost").orderBy("r", "o").collect()]
+
+
 def capped(cost, cap: float):
     """A cost under a cap, which is at least 0.05 if it is positive at all."""
     return F.least(cost, F.lit(max(cap, 0.05))) if cap > 0 else cost
@@ -99,8 +116,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str, by: str) -> None:
-    """One JSON document: an object a row, in the order of by."""
-    df.orderBy(by).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One JSON document: a list with an object a row, in the order of by. Reports have a row a group and stand in one task."""
+    rows = df.select(F.struct(F.col(by).alias("k"), F.struct("*").alias("row")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("all"))
+    rows.select(F.to_json(F.transform("all", lambda r: r["row"])).alias("value")).write.mode("overwrite").text(path)
 
 
 def event_sink(df: DataFrame, path: str, checkpoint: str):
@@ -122,13 +140,8 @@ def wav_seconds(content) -> object:
 
 def embedding_text(vector) -> object:
     """A column of unit-length vectors as base64 of 16-bit floats; Arrow-batched, as Spark has no such type."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        import base64
-
         def one(v):
             a = np.asarray(v, np.float64)
             return base64.b64encode((a / (np.linalg.norm(a) or 1)).astype("<f2").tobytes()).decode()

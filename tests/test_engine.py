@@ -278,10 +278,44 @@ def test_readers(spark, tmp_path):
     assert tuple(defaults.first()) == (2.0, 2.0, 5.0) and tuple(pairs.first()) == (3, 4, 0.5)
     (tmp_path / "v1").mkdir()
     (tmp_path / "v1/meta.json").write_text("{}")
-    assert readers.latest_version(str(tmp_path)) == str(tmp_path / "v1")
+    assert readers.latest_version(spark, str(tmp_path)) == str(tmp_path / "v1")
     assert len(readers.wav(b"\0\0" * 16000)) == 44 + 32000
 
 
+def test_writers_and_sinks(spark, tmp_path):
+    docs = spark.createDataFrame([(2, 1, "b"), (1, 1, "a"), (1, 2, "c")], "group_id int, doc_num int, text string")
+    readers.write_corpus(docs, str(tmp_path / "corpus"))
+    back = spark.read.parquet(str(tmp_path / "corpus"))
+    assert sorted(x.name for x in (tmp_path / "corpus").iterdir() if x.is_dir()) == ["group_id=1", "group_id=2"]
+    assert readers.lookup(back, 1, 2).first()["text"] == "c"
+    readers.write_json(docs, str(tmp_path / "rows"))
+    assert sorted(r["text"] for r in spark.read.json(str(tmp_path / "rows")).collect()) == ["a", "b", "c"]
+    readers.write_report(docs, str(tmp_path / "report"), "text")
+    (part,) = (tmp_path / "report").glob("part-*")
+    assert [r["text"] for r in json.loads(part.read_text())] == ["a", "b", "c"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text('{"a": 1}\n{"a": 2}\n')
+    q = readers.event_sink(spark.readStream.schema("a int").json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["a"] for r in spark.read.schema("a int").json(str(tmp_path / "out")).collect()) == [1, 2]
+    import base64
+
+    text = spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(readers.embedding_text(F.col("v"))).first()[0]
+    assert np.frombuffer(base64.b64decode(text), "<f2").tolist() == pytest.approx([0.6, 0.8], abs=1e-3)
+
+
+def test_confusions_lower_the_cost(spark, tmp_path):
+    (tmp_path / "v.json").write_text(json.dumps({"id_to_token": ["", "alpha", "beta", "gamma", "zeta"]}))
+    (tmp_path / "f.json").write_text(json.dumps({"defaults": {"fallback_sub_cost": 2}, "sub_cost": {"2": [[4, 0.25]]}}))
+    _, pairs = readers.confusions_json(spark, str(tmp_path / "f.json"))
+    own = readers.confusion_words(pairs, readers.vocabulary_json(spark, str(tmp_path / "v.json")))
+    assert own == [("beta", "zeta", 0.25)]
+    rows = spark.createDataFrame([(1, ["alpha", "zeta", "gamma"], ["alpha", "beta", "gamma"], 0, 0)], "k int, observed array<string>, reference array<string>, base long, off long")
+    cost = lambda c: A.align_pairs(rows, "k int", A.Costs(1.0, 1.0, 2.0), confusions=c).first()
+    assert cost(())["cost"] == 2.0 and cost(own)["cost"] == 0.25 and cost(own)["mapped"] == [0, 1, 2]
+
+
 def test_locate_and_refine(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
