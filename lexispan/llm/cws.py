@@ -64,7 +64,7 @@ class Sampler:
             code = mix(words[:, None] + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             return (bits << np.uint64(32)) | (code >> np.uint64(32))
 
-    def fingerprints(self, texts: list[str], slab: int = 16384, most: int = 1 << 17) -> np.ndarray:
+    def fingerprints(self, texts: list[str], slab: int = 16384, most: int = 1 << 18) -> np.ndarray:
         """One row of codes a text."""
         known: dict[tuple[bytes, int], int] = {}
         of, sizes = [], []
@@ -78,12 +78,12 @@ class Sampler:
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w, _ in known), np.uint64, len(known))
         weights = np.fromiter((n for _, n in known), np.float64, len(known))
         of_, ends = np.array(of, np.intp), np.cumsum(sizes)
-        if len(known) > most:  # too many words to hold their draws: each text's are reduced bit by bit, and words that texts share are drawn anew
-            for i, (size, end) in enumerate(zip(sizes, ends.tolist(), strict=True)):
-                if size:
-                    own = of_[end - size : end]
-                    least = [self.drawn(words[own[j : j + 512]], weights[own[j : j + 512]]).min(axis=0) for j in range(0, size, 512)]
-                    out[i] = np.minimum.reduce(least).astype(np.uint16)
+        if len(known) > most:  # too many words to hold their draws: half of the texts at a time, and of one text some words at a time
+            if len(texts) > 1:
+                half = len(texts) // 2
+                return np.concatenate([self.fingerprints(some, slab, most) for some in (texts[:half], texts[half:])])
+            least = [self.drawn(words[j : j + 512], weights[j : j + 512]).min(axis=0) for j in range(0, len(words), 512)]
+            out[0] = np.minimum.reduce(least).astype(np.uint16)
             return out
         table = np.concatenate([self.drawn(words[i : i + 512], weights[i : i + 512]) for i in range(0, len(words), 512)])
         first = 0
