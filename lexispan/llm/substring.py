@@ -49,15 +49,19 @@ class Rolling:
 class Words:
     """All texts' words: spelt with a space before each, where each starts in that, their hashes, and which text each is of."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], seen: dict[bytes, int], most: int = 400_000):
+        """seen: words' hashes remembered from one batch to the next."""
         own = [t.split() for t in texts]
         flat = [w for words in own for w in words]
-        self.spelt = memoryview(b"".join([x for w in flat for x in (b" ", w)]))
+        self.spelt = memoryview(b" " + b" ".join(flat))
         self.starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)])
-        known = dict.fromkeys(flat)
-        for w in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        self.hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        new = set(flat).difference(seen)
+        if len(seen) + len(new) > most:
+            seen.clear()
+            new = set(flat)
+        for w in new:
+            seen[w] = xxhash.xxh3_64_intdigest(w)
+        self.hashes = np.fromiter(map(seen.__getitem__, flat), np.uint64, len(flat))
         self.of = np.repeat(np.arange(len(texts)), list(map(len, own)))
 
     def contents(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -135,8 +139,9 @@ def repeats(rows: DataFrame, window: int, run: int, shard_words: int, hot: int,
     """_n, start, n: runs of windows (by their first word) that also start earlier. dealt: rows by _n, for the words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for b in parts(batches, chars=1_500_000):
-            w = Words([t.encode() for t in strings(b.column(1))])
+            w = Words([t.encode() for t in strings(b.column(1))], seen)
             anchor, of, at, n = stretches(w.hashes, w.of, window, run)
             content = w.contents(at, at + n + window - 1)
             start = at - np.searchsorted(w.of, of)
