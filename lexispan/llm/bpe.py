@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 
+from .common import begin
 
 MARKS = ".,;:!?"
 #: Chunks in one call for ids; more calls cost more than they bring.
@@ -172,16 +173,15 @@ class Encoder:
         return self.spread(which), bounds
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(name: str, spaces_dropped: bool, end: int | None = 0) -> Encoder:
-    """One encoder for each Python worker. name: a path, or a file name of the public tokenizers, which is found where the worker runs."""
-    key = (name, spaces_dropped, end)
-    if key not in _ENCODERS:
+    """One encoder for each Python worker, for as long as no other operator runs there. name: a path, or a file name of the public tokenizers, which is found where the worker runs."""
+
+    def make() -> Encoder:
+        path = name
         if "/" not in name:
             import public_tokenizers
 
-            name = public_tokenizers.path(name)
-        _ENCODERS[key] = Encoder(name, spaces_dropped, end)
-    return _ENCODERS[key]
+            path = public_tokenizers.path(name)
+        return Encoder(path, spaces_dropped, end)
+
+    return begin((name, spaces_dropped, end), make)

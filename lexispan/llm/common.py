@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -124,6 +126,31 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512, of: str = "text",
             yield b.slice(start)
 
 
+#: What this Python worker keeps from task to task: of the operator that ran last alone.
+_kept: dict = {}
+
+
+def begin(key: object, make: Callable[[], object] = lambda: None) -> object:
+    """Called where a worker's task begins: what make made in an earlier task of the same key, or makes now.
+
+    A pipeline's stages run in the same workers, so what another operator kept goes first.
+    """
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[key] = make()
+    give_back()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Returns to the system what the allocators hold unused: all workers and the JVM share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def column(name: str) -> Column:
     """The column of just this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -142,12 +169,14 @@ def by_rows(docs: DataFrame, fn: Callable[[list[str]], dict[str, list]], added:
     kinds = to_arrow_schema(StructType.fromDDL(added))  # Spark takes no other types than the declared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(added)
         for b in batches:
             rows = b.column(0)
-            for start in range(0, max(len(rows), 1), 512):
-                some = rows.slice(start, 512)
+            for start in range(0, max(len(rows), 1), 128):
+                some = rows.slice(start, 128)
                 made = fn(strings(pc.struct_field(some, [text])))
                 yield pa.RecordBatch.from_arrays([some, *(pa.array(made[f.name], f.type) for f in kinds)], ["row", *kinds.names])
+            give_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -97,7 +97,7 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "seen"}
 
-    def sums(self, texts: list[str], most: int = 500_000) -> np.ndarray:
+    def sums(self, texts: list[str], most: int = 250_000) -> np.ndarray:
         """For each text the sums of its n-grams' weights, of the logarithms of their shares, and their number. No n-gram crosses white space, so each distinct word is looked up once."""
         each = np.concatenate([self.weights, self.shares], axis=1)
         if "seen" not in self.__dict__ or len(self.seen[0]) > most:

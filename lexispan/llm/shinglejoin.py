@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, strings, written
+from .common import begin, parts, small_batches, strings, written
 
 #: Bits of a small set's parities; a larger one has as many as shingles, rounded up to a power of two.
 BITS = 1024
@@ -55,6 +55,7 @@ def sets(rows: DataFrame, words: int) -> DataFrame:
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         for b in parts(batches):
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "s": lists([np.unique(shingles(t, words)) for t in strings(b.column(1))])})
 
@@ -87,6 +88,7 @@ def filed(rows: DataFrame, words: int, late: np.ndarray, num: int, den: int) ->
         return early[:n] if len(early) >= n else np.concatenate([early, late[np.sort(by_hash[at[is_late]])]])[:n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         for b in parts(batches):
             fp, d, n, sig, t = [], [], [], [], []
             for text in strings(b.column(1)):

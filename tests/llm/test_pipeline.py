@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexispan.llm import registry
+from lexispan.llm import packing, registry
+from lexispan.llm.common import by_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +93,16 @@ def test_stages_take_odd_rows(spark, k):
         assert texts.count(rows[0][1]) == 1 and rows[2][1] in texts and rows[3][1] in texts
     if name == "benchmark":
         assert len(got) == len(rows)
+
+
+def test_a_stage_lets_go_of_what_another_kept(spark):
+    """Workers are shared by a pipeline's stages, and each stage's memory of words or chunks is large."""
+    docs = spark.createDataFrame([(i, f"a few words {i}") for i in range(64)], "doc_id long, text string").repartition(16)
+    assert packing.pieces(docs, "word_bpe_49k.json", 0, 2048).count() == 64
+
+    def encoders(texts):
+        import gc
+
+        return {"n": [sum(type(x).__name__ == "Encoder" for x in gc.get_objects())] * len(texts)}
+
+    assert by_rows(docs, encoders, "n int").agg({"n": "max"}).first()[0] == 0
