@@ -12,6 +12,7 @@ window once. Equal windows always share a shard, so shards don't grow with the c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +53,14 @@ class Words:
     def __init__(self, texts: list[bytes], seen: dict[bytes, int], most: int = 400_000):
         """seen: words' hashes remembered from one batch to the next."""
         own = [t.split() for t in texts]
-        flat = [w for words in own for w in words]
-        self.spelt = memoryview(b" " + b" ".join(flat))
-        self.starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)])
-        new = set(flat).difference(seen)
-        if len(seen) + len(new) > most:
+        flat = list(chain.from_iterable(own))
+        spelt = b" " + b" ".join(flat)
+        self.spelt = memoryview(spelt)
+        spaces = np.flatnonzero(np.frombuffer(spelt, np.uint8) == 32)  # no word holds one
+        self.starts = np.append(spaces, len(spelt)) if flat else spaces
+        if len(seen) > most:
             seen.clear()
-            new = set(flat)
-        for w in new:
+        for w in set(flat).difference(seen):
             seen[w] = xxhash.xxh3_64_intdigest(w)
         self.hashes = np.fromiter(map(seen.__getitem__, flat), np.uint64, len(flat))
         self.of = np.repeat(np.arange(len(texts)), list(map(len, own)))
@@ -145,20 +146,21 @@ def repeats(rows: DataFrame, window: int, run: int, shard_words: int, hot: int,
             anchor, of, at, n = stretches(w.hashes, w.of, window, run)
             content = w.contents(at, at + n + window - 1)
             start = at - np.searchsorted(w.of, of)
-            order = np.lexsort((start, content[:, 1], content[:, 0], of))
+            order = np.lexsort((content[:, 1], content[:, 0], of))  # stable: equal ones stay in the order of their starts
             same = (of[order][1:] == of[order][:-1]) & (content[order][1:] == content[order][:-1]).all(axis=1)
             first = np.ones(len(of), bool)
             first[order[1:]] = ~same
             yield pa.RecordBatch.from_pydict({"h": anchor.view(np.int64), "c": content[:, 0], "d": content[:, 1], "_n": b.column(0).take(pa.array(of)), "start": start.astype(np.int32), "n": n.astype(np.int32), "first": first})
 
     made = rows.select("_n", "text").mapInArrow(cut, "h long, c long, d long, _n long, start int, n int, first boolean")
-    # written first, so that Spark can split a hot anchor in the joins: their sides are plain exchanges
-    often = written(made.groupBy("h").count().where("count > 1").select("h"), "often")
-    some = written(made.join(often, "h"), "stretches")
+    # written first, so that texts are cut once, and that Spark can split a hot anchor in the joins: their sides are plain exchanges
+    made = written(made, "cut", dictionary=False)
+    often = written(made.groupBy("h").count().where("count > 1").select("h"), "often", clean=True)
+    some = written(made.join(often, "h"), "stretches", clean=True)
     firsts = some.groupBy("h", "c", "d").agg(F.min("_n").alias("earliest"))
     different = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    firsts = written(firsts.join(different, "h"), "firsts")
-    known = written(some.join(firsts, ["h", "c", "d"]).select("h", "_n", "start", "n", (F.col("first") & (F.col("_n") == F.col("earliest"))).alias("is_first"), "k"), "compared")
+    firsts = written(firsts.join(different, "h"), "firsts", clean=True)
+    known = written(some.join(firsts, ["h", "c", "d"]).select("h", "_n", "start", "n", (F.col("first") & (F.col("_n") == F.col("earliest"))).alias("is_first"), "k"), "compared", clean=True)
     again = known.where("not is_first").select("_n", "start", "n")
     asked = known.where("is_first and k > 1")
     shards = max(1, -(-(asked.agg(F.sum(F.col("n") + window)).first()[0] or 0) // shard_words))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from lexispan.llm import fmindex, substring
+from lexispan.llm import common, fmindex, substring
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -119,3 +119,18 @@ def test_long_texts_and_columns_of_any_name(spark):
     docs = [(1, long), (2, "start " + long[:300_000] + " end"), (3, "the same few words " * 3000)]
     df = spark.createDataFrame([(*x, 1, 2, 3) for x in docs], "doc_id long, text string, `a.b` int, h int, start int")
     assert got(substring.remove_repeats(df)) == brute(docs, 20)
+
+
+def test_texts_are_cut_once(spark, monkeypatch):
+    cutting = []
+
+    def written(df, name, **how):
+        if "MapInArrow" in df._jdf.queryExecution().toString():
+            cutting.append(name)
+        return common.written(df, name, **how)
+
+    monkeypatch.setattr(substring, "written", written)
+    docs = corpus(5)
+    found = substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got(found) == sorted(brute(docs, 20))
+    assert cutting == ["cut"]
