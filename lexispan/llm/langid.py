@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Numbers
-from .common import by_rows
+from .common import by_rows, give_back
 
 UNDETERMINED = "und"
 BUCKETS, SIZES = 1 << 14, (2, 3, 4)
@@ -61,7 +61,7 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for t in texts:
         bucket, n = np.unique(grams([t])[0], return_counts=True)
-        out.append((bucket, (n / max(n.sum(), 1)).astype(np.float32)))
+        out.append((bucket.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
     return out
 
 
@@ -97,6 +97,10 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "seen"}
 
+    def forget(self) -> None:
+        """Lets go of the words remembered."""
+        self.__dict__.pop("seen", None)
+
     def sums(self, texts: list[str], most: int = 250_000) -> np.ndarray:
         """For each text the sums of its n-grams' weights, of the logarithms of their shares, and their number. No n-gram crosses white space, so each distinct word is looked up once."""
         each = np.concatenate([self.weights, self.shares], axis=1)
@@ -121,9 +125,9 @@ class Model:
             total[some] = np.add.reduceat(table[which].astype(np.float64), ends[some], axis=0)
         return total
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text the languages' scores, how usual it is in each, and its number of n-grams."""
-        total, n = self.sums(texts), len(self.languages)
+    def scores(self, texts: list[str], at_once: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the languages' scores, how usual it is in each, and its number of n-grams. at_once: so many texts' words are held at a time."""
+        total, n = np.concatenate([self.sums(texts[i : i + at_once]) for i in range(0, max(len(texts), 1), at_once)]), len(self.languages)
         number = total[:, -1:]
         mean = total[:, :-1] / np.maximum(number, 1)
         return mean[:, :n] + self.bias, (mean[:, n:] - self.middle) * np.sqrt(np.minimum(number, STEADY) / STEADY), total[:, -1]
@@ -214,7 +218,11 @@ def fitted(docs: DataFrame, most: int = 3000, held_out: int = 2, folds: int = 4)
     """A model from text and lang of at most `most` documents outside the held-out fold (a documented bound of the training sample)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & eligible(held_out, folds))
     some = labelled_sample(rows.select("doc_id", "text", "lang"), most, "text", "lang")
-    return train([r["text"] for r in some], [r["lang"] for r in some])
+    model = train([r["text"] for r in some], [r["lang"] for r in some])
+    model.forget()
+    del some
+    give_back()  # this is the driver, whose memory the JVM shares
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -199,3 +199,21 @@ def test_quality(spark):
     assert got[900] == got[901] and all(0 <= s <= 1 for s in got.values())
     assert quality.scored(docs.limit(0), quality.Field()).count() == 0
     assert {round(r["score"], 9) for r in quality.scored(docs, quality.fitted(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_language_training_leaves_the_driver_its_memory(spark):
+    """The driver's Python shares its memory with the JVM: texts are scored a few at a time, and no words stay remembered."""
+    import tracemalloc
+
+    rows = [(i, f"the cat sat on the mat {i}" if i % 2 else f"le chat est sur la table {i}", "en" if i % 2 else "fr") for i in range(200)]
+    model = langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "seen" not in vars(model) and model.languages == ["en", "fr"]
+    texts = [" ".join(f"word{(i * j) % 997}" for j in range(400)) for i in range(2000)]
+    apart = [np.concatenate(x) for x in zip(*(model.scores(texts[i : i + 1]) for i in range(0, 2000, 50)))]
+    tracemalloc.start()
+    together = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6  # all words' rows at once are 2000 * 400 * 5 * 12 bytes
+    assert all((a == b[::50]).all() for a, b in zip(apart, together, strict=True))
+    assert len(model.scores([])[2]) == 0
