@@ -15,6 +15,8 @@ beside their level; a chance of 2**-59 that two words of a line count as one is
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ from .common import numbered, written
 
 SPACES = " \n\t\x0b\x0c\r"
 #: Buckets of words that share a level of rarity, a quarter of a power of two each.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: So many rows count them, each several: Spark sums up in a faster map as long as it has no more keys.
+COUNTED = 1 << 16
 #: Lines of more words have a second signature.
 LONG = 64
 #: So many pairs of lines (16 MB of ids at the most) are broadcast.
@@ -35,22 +39,25 @@ def has_words(line: Column) -> Column:
     return F.ltrim(line, F.lit(SPACES)) != ""
 
 
-def words(text: Column) -> Column:
-    """What white space separates; empty strings too, where white space follows white space. Single spaces are found faster than a pattern."""
+def spaced(text: Column) -> Column:
+    """text with spaces for all other white space but line feeds: lines of the same words in the same places are equal then."""
     rare = SPACES[2:]
-    plain = text
+    plain, odd = text, F.contains(text, F.lit(rare[0]))
     for c in rare:
         plain = F.replace(plain, F.lit(c), F.lit(" "))
-    odd = F.contains(text, F.lit(rare[0]))
-    for c in rare[1:]:
         odd = odd | F.contains(text, F.lit(c))
-    return F.split(F.when(odd, plain).otherwise(text), " ")
+    return F.when(odd, plain).otherwise(text)
+
+
+def words(text: Column) -> Column:
+    """What single spaces separate; empty strings too, where a space follows a space. It is found faster than a pattern."""
+    return F.split(text, " ")
 
 
 def lines(rows: DataFrame, stride: int) -> DataFrame:
-    """id, line: the lines with words. A line's id is its row's number times stride and its place in the row."""
-    split = rows.select("_n", F.posexplode(F.split("row.text", "\n")).alias("i", "line"))
-    return split.where(has_words(F.col("line"))).select((F.col("_n") * stride + F.col("i")).alias("id"), "line")
+    """id, line: the lines with words, spaced. A line's id is its row's number times stride and its place in the row."""
+    split = rows.select("_n", F.posexplode(F.split(spaced(F.col("row.text")), "\n")).alias("i", "line"))
+    return split.where(F.ltrim("line") != "").select((F.col("_n") * stride + F.col("i")).alias("id"), "line")
 
 
 def shifted(name: str, c: Column, by: Column) -> Column:
@@ -59,17 +66,26 @@ def shifted(name: str, c: Column, by: Column) -> Column:
 
 def levels(rows: DataFrame) -> Column:
     """The buckets' levels of rarity, a constant array; counted over all words of rows."""
-    found = rows.select(F.explode(words(F.replace("row.text", F.lit("\n"), F.lit(" ")))).alias("w"))  # empty strings too, which no line has as a word
-    counts = found.select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).groupBy("b").count()
+    text = F.replace(spaced(F.col("row.text")), F.lit("\n"), F.lit(" "))
+    hashes = rows.select(F.explode(words(text)).alias("w")).select(F.xxhash64("w").alias("h"))  # empty strings too, which no line has as a word
+    within = F.col("h").bitwiseAND(BUCKETS - 1)
+    counts = hashes.select((within % COUNTED).alias("b"), F.shiftright(within, COUNTED.bit_length() - 1).alias("i"))
+    counts = counts.groupBy("b").agg(*[F.count_if(F.col("i") == i).alias(f"c{i}") for i in range(BUCKETS // COUNTED)])
     spelt = ["0"] * BUCKETS
-    for r in counts.select("b", F.floor(F.log2("count") * 4).alias("level")).collect():  # at most BUCKETS rows
-        spelt[r["b"]] = str(r["level"])
-    return F.split(F.lit(",".join(spelt)), ",").cast("array<bigint>")
+    for r in counts.select("b", *[F.floor(F.log2(c) * 4).alias(c) for c in counts.columns[1:]]).collect():  # at most COUNTED rows
+        for i, level in enumerate(r[1:]):
+            spelt[i * COUNTED + r["b"]] = str(level or 0)
+    return F.split(F.lit(",".join(spelt)), ",").cast("array<smallint>")
+
+
+def least_key(count: int) -> int:
+    """No word that is there so many times has a smaller key; the level below is let in, however logarithms round."""
+    return max(0, int(math.log2(count) * 4) - 1) << HASH_BITS
 
 
 def keys(hashes: Column, ranks: Column) -> Column:
-    """For each hash the number that words are ordered and joined by: its level, then its low bits."""
-    level = lambda h: F.get(ranks, h.bitwiseAND(BUCKETS - 1))
+    """For each hash the number that words are ordered and joined by: its level, then its low bits. None is null, for Spark too: it sorts such arrays faster."""
+    level = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(BUCKETS - 1)).cast("bigint"), F.lit(0).cast("bigint"))
     return F.transform(hashes, lambda h: F.shiftleft(level(h), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1)))
 
 
@@ -163,7 +179,7 @@ def verified(once: DataFrame, pairs: DataFrame, like: Threshold) -> DataFrame:
     if pairs.count() <= FEW:  # few enough to go to every task; more are joined
         ids = F.broadcast(ids)
     spelt = once.select("id", "line").join(ids, "id", "left_semi").select("id", F.array_remove(F.array_distinct(words(F.col("line"))), "").alias("w"))
-    spelt = written(spelt, "spelt", clean=True)
+    spelt = written(spelt, "spelt", clean=True, dictionary=False)
     both = pairs.join(spelt.toDF("x", "xw"), "x").join(spelt.toDF("y", "yw"), "y")
     return both.where(like.met(F.size(F.array_intersect("xw", "yw")), F.size("xw") + F.size("yw"))).select(F.col("x").alias("id")).distinct()
 
@@ -171,7 +187,7 @@ def verified(once: DataFrame, pairs: DataFrame, like: Threshold) -> DataFrame:
 def like_earlier(once: DataFrame, like: Threshold, hot: int) -> DataFrame:
     """id of the lines of once where an earlier, different line is like it."""
     flat = postings(once)
-    crowded = written(flat.groupBy("t").count().where(F.col("count") > hot).select("t"), "crowded", clean=True)
+    crowded = written(flat.where(F.col("t") >= least_key(hot + 1)).groupBy("t").count().where(F.col("count") > hot).select("t"), "crowded", clean=True)
     heavy = written(flat.join(crowded, "t"), "heavy", clean=True)
     heads = heavy.join(heavy.groupBy("t").agg(F.min("id").alias("id")), ["t", "id"])
     removed = written(verified(once, met(heavy, heads, like), like), "removed", clean=True)

@@ -113,3 +113,34 @@ def test_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a b", 1, 2, 3, 4), (2, "a b\nc", 5, 6, 7, 8)], "doc_id long, text string, `a.b` int, id int, _n int, `row` int")
     out = sorted((r["row"]["doc_id"], r["row"]["a.b"], r["row"]["_n"], r["text"], r["n_removed"]) for r in linededup.dedup_lines(df).collect())
     assert out == [(1, 1, 3, "a b", 0), (2, 5, 7, "c", 1)]
+
+
+def test_white_space_does_not_part_lines(spark):
+    """Lines of the same words in the same places are one line from the start, whatever white space is between the words."""
+    docs = [(1, "a b\tc"), (2, "a\x0bb c\na\x0cb\rc"), (3, "a b c\n\t \n \x0b")]
+    rows, stride = linededup.placed(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert [r["line"] for r in linededup.distinct_lines(rows, stride, linededup.Threshold(4, 5)).collect()] == ["a b c"]
+
+
+def test_keys_follow_counts(spark):
+    """A key's level is its bucket's count of words in all texts, and no crowded word lies below the least key that is looked at."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice([" ", "\t"]).join(f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(50)) for _ in range(4)) for _ in range(80)]
+    rows, _ = linededup.placed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    counts = Counter(w for t in texts for line in t.split("\n") for w in words(line))
+    key = linededup.keys(F.array(F.xxhash64("w")), linededup.levels(rows))
+    found = spark.createDataFrame(list(counts.items()), "w string, n long").select("w", "n", F.xxhash64("w").alias("h"), key.alias("k"))
+    assert not found.schema["k"].dataType.containsNull  # such arrays are sorted faster
+    inside = Counter()
+    for r in found.collect():
+        inside[r["h"] % linededup.BUCKETS] += r["n"]
+    whole = spark.createDataFrame(list(inside.items()), "b long, n long").select("b", F.floor(F.log2("n") * 4)).collect()
+    level = dict(map(tuple, whole))
+    for r in found.collect():
+        assert r["k"] == [level[r["h"] % linededup.BUCKETS] << linededup.HASH_BITS | r["h"] & ((1 << linededup.HASH_BITS) - 1)]
+        assert all(r["k"][0] >= linededup.least_key(n) for n in range(1, r["n"] + 1))
+    assert max(counts.values()) > 100 and min(counts.values()) == 1
